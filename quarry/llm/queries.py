@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import table
 from quarry.llm.quality import quality_rules
+from quarry.llm.simhash import simhash_groups
+
+
+def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's SimHash fingerprint and the group that links of at most two bits make."""
+    found = simhash_groups(table(spark, sf_dir, "documents"), shingle=3, radius=2)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,5 +23,6 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op7_simhash_groups": op7_simhash_groups,
         "op9_quality_rules": op9_quality_rules,
     }
