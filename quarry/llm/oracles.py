@@ -56,5 +56,18 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f"""
 
 
+_SUBSTRING = r"""
+WITH a AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, unnest([array_to_string(w[j:j + 19], ' ') for j in range(1, len(w) - 18)]) AS s FROM a),
+late AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS r FROM win) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM late, (SELECT unnest(range(20)) AS k)),
+g AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id),
+k AS (
+  SELECT a.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
+         CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END AS kept
+  FROM a LEFT JOIN g ON a.doc_id = g.doc_id)
+SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_quality_rules": _quality()}
+    return {"op1_substring_dedup": _SUBSTRING, "op9_quality_rules": _quality()}

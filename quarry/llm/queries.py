@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from quarry.llm.common import table
 from quarry.llm.quality import quality_rules
 from quarry.llm.simhash import simhash_groups
+from quarry.llm.substring import substring_dedup
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document once repeats of 20 words that start earlier are gone."""
+    found = substring_dedup(table(spark, sf_dir, "documents"), window=20)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +30,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
         "op7_simhash_groups": op7_simhash_groups,
         "op9_quality_rules": op9_quality_rules,
     }
