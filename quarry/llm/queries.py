@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import table
+from quarry.llm.packing import harmonic_pack
 from quarry.llm.quality import quality_rules
 from quarry.llm.simhash import simhash_groups
 from quarry.llm.substring import substring_dedup
@@ -23,6 +24,19 @@ def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where a public vocabulary lies; operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces of sequences of at most 2048 ids."""
+    found = harmonic_pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048)
+    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict of every document."""
     return quality_rules(table(spark, sf_dir, "documents"))
@@ -32,5 +46,6 @@ def queries() -> dict:
     return {
         "op1_substring_dedup": op1_substring_dedup,
         "op7_simhash_groups": op7_simhash_groups,
+        "op8_harmonic_packing": op8_harmonic_packing,
         "op9_quality_rules": op9_quality_rules,
     }
