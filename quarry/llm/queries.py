@@ -10,6 +10,7 @@ from quarry.llm.packing import harmonic_pack
 from quarry.llm.quality import quality_rules
 from quarry.llm.simhash import simhash_groups
 from quarry.llm.substring import substring_dedup
+from quarry.llm.toxicity import toxicity_scores
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +19,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated toxicity of every document."""
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's SimHash fingerprint and the group that links of at most two bits make."""
     found = simhash_groups(table(spark, sf_dir, "documents"), shingle=3, radius=2)
@@ -45,6 +51,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op2_toxicity": op2_toxicity,
         "op7_simhash_groups": op7_simhash_groups,
         "op8_harmonic_packing": op8_harmonic_packing,
         "op9_quality_rules": op9_quality_rules,
