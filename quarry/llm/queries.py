@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import table
+from quarry.llm.html import extract_main_text
 from quarry.llm.packing import harmonic_pack
 from quarry.llm.quality import quality_rules
 from quarry.llm.simhash import simhash_groups
@@ -48,6 +49,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -55,4 +61,5 @@ def queries() -> dict:
         "op7_simhash_groups": op7_simhash_groups,
         "op8_harmonic_packing": op8_harmonic_packing,
         "op9_quality_rules": op9_quality_rules,
+        "op10_html_extraction": op10_html_extraction,
     }
