@@ -69,5 +69,28 @@ k AS (
 SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k"""
 
 
+_WARC = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS payload_digest, max(page_id) OVER (PARTITION BY sha1(b)) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id < first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < first THEN first END AS refers_to FROM d"""
+
+
+_URLS = r"""
+WITH p AS (SELECT page_id, url, 1704067200 + page_id * 977 % (30 * 86400) AS t,
+  nullif(regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)), '\.$', ''), '') AS h FROM pages),
+x AS (SELECT DISTINCT h, md5(h) AS m, 1704067200 + 86400 * (length(h) % 14) AS day FROM p WHERE h IS NOT NULL),
+y AS (SELECT *, substr(m, 1, 1) AS f, CASE WHEN substr(m, 2, 1) < '8' THEN 'adult' ELSE 'spam' END AS category FROM x),
+iv AS (
+  SELECT h AS key, category, day AS s, day + 864000 AS e FROM y WHERE f IN ('0', '1', '2', '3') AND h NOT IN (SELECT array_to_string(string_split(h, '.')[-2:], '.') FROM y WHERE f = '4')
+  UNION ALL SELECT h, category, day + 15 * 86400, NULL FROM y WHERE f IN ('0', '1') AND h NOT IN (SELECT array_to_string(string_split(h, '.')[-2:], '.') FROM y WHERE f = '4')
+  UNION ALL SELECT DISTINCT array_to_string(string_split(h, '.')[-2:], '.'), category, 1704067200 + 19 * 86400, NULL FROM y WHERE f = '4'),
+k AS (SELECT page_id, t, unnest([array_to_string(string_split(h, '.')[-i:], '.') for i in range(1, len(string_split(h, '.')) + 1)]) AS key FROM p WHERE h IS NOT NULL),
+hit AS (SELECT page_id, k.key, category FROM k JOIN iv ON k.key = iv.key WHERE s <= t AND (e IS NULL OR t < e)),
+best AS (SELECT page_id, count(*) AS n, first(key ORDER BY length(key) DESC, key, category) AS key, first(category ORDER BY length(key) DESC, key, category) AS category FROM hit GROUP BY page_id)
+SELECT p.page_id, url, best.page_id IS NOT NULL AS blocked, coalesce(n, 0) AS n_matches, key AS matched_key, category
+FROM p LEFT JOIN best ON p.page_id = best.page_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": _SUBSTRING, "op9_quality_rules": _quality()}
+    return {"op1_substring_dedup": _SUBSTRING, "op5_url_filters": _URLS, "op6_warc": _WARC, "op9_quality_rules": _quality()}

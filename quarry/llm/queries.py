@@ -12,6 +12,8 @@ from quarry.llm.quality import quality_rules
 from quarry.llm.simhash import simhash_groups
 from quarry.llm.substring import substring_dedup
 from quarry.llm.toxicity import toxicity_scores
+from quarry.llm.urlfilter import filter_urls, host_of
+from quarry.llm.warc import warc_round_trip
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +27,36 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def url_list(pages: DataFrame) -> DataFrame:
+    """A dated list made from the pages' own hosts: md5 of a host decides whether, when and for how long it is listed.
+
+    Hosts whose md5 starts with 0 to 3 are listed on a day of January, removed ten days later and,
+    if it starts with 0 or 1, listed again after five more; every parent domain of hosts with 4 is listed from the 20th on.
+    """
+    h = pages.select(host_of(F.col("url")).alias("h")).where("h is not null").distinct().withColumn("m", F.md5("h"))
+    day = F.lit(1704067200) + 86400 * F.pmod(F.length("h"), F.lit(14))
+    first, kind = F.substring("m", 1, 1), F.when(F.substring("m", 2, 1) < "8", F.lit("adult")).otherwise(F.lit("spam"))
+
+    def dated(where, key, ts, action):
+        return h.where(where).select(F.concat(F.lit("d:"), key).alias("key"), ts.cast("long").alias("ts"), F.lit(action).alias("action"), kind.alias("category"))
+
+    host, parent = F.col("h"), F.substring_index("h", ".", -2)
+    listed, again = first.isin("0", "1", "2", "3"), first.isin("0", "1")
+    return dated(listed, host, day, "add").unionAll(dated(listed, host, day + 10 * 86400, "remove")).unionAll(dated(again, host, day + 15 * 86400, "add")).unionAll(dated(first == "4", parent, F.lit(1704067200 + 19 * 86400), "add"))
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, fetched page_id * 977 seconds (modulo 30 days) into January, against a dated list."""
+    pages = table(spark, sf_dir, "pages")
+    captures = pages.select("page_id", "url", (F.lit(1704067200) + F.col("page_id") * 977 % (30 * 86400)).alias("fetched"))
+    return filter_urls(captures, url_list(pages))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back."""
+    return warc_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's SimHash fingerprint and the group that links of at most two bits make."""
     found = simhash_groups(table(spark, sf_dir, "documents"), shingle=3, radius=2)
@@ -58,6 +90,8 @@ def queries() -> dict:
     return {
         "op1_substring_dedup": op1_substring_dedup,
         "op2_toxicity": op2_toxicity,
+        "op5_url_filters": op5_url_filters,
+        "op6_warc": op6_warc,
         "op7_simhash_groups": op7_simhash_groups,
         "op8_harmonic_packing": op8_harmonic_packing,
         "op9_quality_rules": op9_quality_rules,
