@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm.ann import nearest
 from quarry.llm.common import table
 from quarry.llm.html import extract_main_text
 from quarry.llm.packing import harmonic_pack
@@ -27,6 +28,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every vec_id divisible by 20."""
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def url_list(pages: DataFrame) -> DataFrame:
     """A dated list made from the pages' own hosts: md5 of a host decides whether, when and for how long it is listed.
 
@@ -90,6 +96,7 @@ def queries() -> dict:
     return {
         "op1_substring_dedup": op1_substring_dedup,
         "op2_toxicity": op2_toxicity,
+        "op3_nearest_neighbours": op3_nearest_neighbours,
         "op5_url_filters": op5_url_filters,
         "op6_warc": op6_warc,
         "op7_simhash_groups": op7_simhash_groups,
