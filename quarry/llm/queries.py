@@ -10,6 +10,7 @@ from quarry.llm.common import table
 from quarry.llm.html import extract_main_text
 from quarry.llm.packing import harmonic_pack
 from quarry.llm.quality import quality_rules
+from quarry.llm.segment import decode_segmentations, sample_segmentations
 from quarry.llm.simhash import simhash_groups
 from quarry.llm.substring import substring_dedup
 from quarry.llm.toxicity import toxicity_scores
@@ -33,6 +34,14 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op4_sampled_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two distinct segmentations of every document, sampled without replacement, and whether each decodes to a text of its length."""
+    path = tokenizer_path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents")
+    found = decode_segmentations(sample_segmentations(docs, path, k=2), path)
+    return found.select("doc_id", "rank", "n_pieces", "log_prob", "inclusion", F.crc32(F.array_join("ids", ",")).alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def url_list(pages: DataFrame) -> DataFrame:
     """A dated list made from the pages' own hosts: md5 of a host decides whether, when and for how long it is listed.
 
@@ -97,6 +106,7 @@ def queries() -> dict:
         "op1_substring_dedup": op1_substring_dedup,
         "op2_toxicity": op2_toxicity,
         "op3_nearest_neighbours": op3_nearest_neighbours,
+        "op4_sampled_segmentations": op4_sampled_segmentations,
         "op5_url_filters": op5_url_filters,
         "op6_warc": op6_warc,
         "op7_simhash_groups": op7_simhash_groups,
