@@ -6,8 +6,12 @@ A module of this package lists its queries as QUERIES: name -> (function, SQL or
 from __future__ import annotations
 
 import importlib
+from collections.abc import Callable
 
-MODULES = ("retrieval",)
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MODULES = ("retrieval", "text", "conversation", "events")
 
 
 def _entries() -> dict:
@@ -20,8 +24,18 @@ def _entries() -> dict:
     return found
 
 
+def _wide(f: Callable) -> Callable:
+    """f with its 32-bit numbers as 64-bit ones, as SQL has them."""
+    def run(spark, sf_dir: str) -> DataFrame:
+        df = f(spark, sf_dir)
+        return df.withColumns({c: F.col(f"`{c}`").cast("long") for c, kind in df.dtypes if kind in ("int", "smallint", "tinyint")})
+
+    run.__name__, run.__doc__ = f.__name__, f.__doc__
+    return run
+
+
 def queries() -> dict:
-    return {k: f for k, (f, _) in _entries().items()}
+    return {k: _wide(f) for k, (f, _) in _entries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
