@@ -16,8 +16,8 @@ EOS = 1
 MAX_WASTE = 1 / 128
 #: Lengths below this are cut into powers of two, whose bins fill exactly.
 SMALL = 64
-#: Texts and words whose ids a worker remembers; a full memory is started anew.
-REMEMBERED = 300_000
+#: Words whose ids a task remembers; a full memory is started anew, and none outlives its task.
+REMEMBERED = 800_000
 #: Bytes of ids after which a worker hands rows on.
 FLUSH_BYTES = 8 << 20
 
@@ -55,7 +55,7 @@ class WordEncoder:
         if ids is None:
             if len(self.parts) >= REMEMBERED:
                 self.parts.clear()
-            ids = self.parts[part] = np.array([t.id for t in self.model.tokenize(part.translate(self.letters))], "<u4").tobytes()
+            ids = self.parts[part] = np.array([t.id for t in self.model.tokenize(part if part.isascii() else part.translate(self.letters))], "<u4").tobytes()
         return ids
 
     def _word(self, raw: bytes) -> bytes:
@@ -70,6 +70,10 @@ class WordEncoder:
             self.words[raw] = ids
         return ids
 
+    def forget(self) -> None:
+        self.words.clear()
+        self.parts.clear()
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit numbers."""
         known = self.words.get
@@ -166,7 +170,8 @@ def harmonic_pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", tex
     names = ["key", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path).encode
+        words = encoder(tokenizer_path)
+        encode = words.encode
         packer = Packer(capacity, TaskContext.get().partitionId() << 32)
         end = np.array([EOS], "<u4").tobytes()
         rows: list[tuple] = []
@@ -186,6 +191,7 @@ def harmonic_pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", tex
                 if size >= FLUSH_BYTES:
                     yield out()
                     rows, size = [], 0
+        words.forget()  # an idle worker holds the vocabulary alone
         rows += packer.finish()
         if rows:
             yield out()
