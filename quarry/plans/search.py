@@ -169,7 +169,7 @@ def mock_embed(spark, sf_dir):
 
 
 def hash_embed(spark, sf_dir):
-    """Signed hash projection of the distinct words on 32 slots; XXH64 stands in for the reference's hash."""
+    """Signed hash projection of the distinct words on 32 slots; XXH64 stands in for a hash that Spark lacks."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("w")).where("w <> ''")
     h = F.xxhash64("w")
     d = d.select("doc_id", F.pmod(h, F.lit(32)).alias("slot"), F.when(h < 0, -1).otherwise(1).alias("sign")).groupBy("doc_id", "slot").agg(F.sum("sign").alias("value"))

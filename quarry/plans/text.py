@@ -251,7 +251,7 @@ def glob_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SHA-256 stands in for the reference's hash, which Spark lacks."""
+    """SHA-256 stands in for a hash that Spark lacks."""
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"), F.octet_length("text").cast("long").alias("size_bytes"))
 
 

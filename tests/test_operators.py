@@ -1,4 +1,5 @@
-import pandas as pd
+from datetime import datetime, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,8 +130,8 @@ def test_stream_terminal(spark, tmp_path):
 
 
 def test_stream_heartbeat(spark, tmp_path):
-    t = pd.Timestamp("2024-01-01")
-    df = _stream(spark, tmp_path, [[(1, t)], [(2, t + pd.Timedelta("2 hours"))], [(2, t + pd.Timedelta("4 hours"))]], "lane long, ts timestamp")
+    t = datetime(2024, 1, 1)
+    df = _stream(spark, tmp_path, [[(1, t)], [(2, t + timedelta(hours=2))], [(2, t + timedelta(hours=4))]], "lane long, ts timestamp")
     got = _run(ST.heartbeats(df), tmp_path, "update")
     assert (1, "active") in got and (1, "stalled") in got
 
@@ -145,5 +146,5 @@ def test_stream_learning(spark, tmp_path):
 
 
 def test_ttl(spark):
-    d = spark.createDataFrame([(pd.Timestamp("2024-01-01"), pd.Timestamp("2024-01-01 00:00:30"), 1), (pd.Timestamp("2024-01-01"), pd.Timestamp("2024-01-01 00:00:29"), 2)], "ts timestamp, now timestamp, k long")
+    d = spark.createDataFrame([(datetime(2024, 1, 1), datetime(2024, 1, 1, 0, 0, 30), 1), (datetime(2024, 1, 1), datetime(2024, 1, 1, 0, 0, 29), 2)], "ts timestamp, now timestamp, k long")
     assert values(ST.fresh_completions(d), "k") == [2]
