@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from compare import duck, rows
@@ -221,7 +222,7 @@ def test_balanced_parts():
 def test_segmentations(spark, odd, none):
     path = queries.tokenizer_path("piece_bpe_32k.model")
     v = segment.vocabulary(path)
-    parts = segment.lattice_words("the tion")
+    parts = ["▁the", "▁tion"]
 
     def every(w):
         if not w:
@@ -233,16 +234,24 @@ def test_segmentations(spark, odd, none):
 
     weights = {a + b: p + q for a, p in every(parts[0]) for b, q in every(parts[1])}
     z = np.logaddexp.reduce(list(weights.values()))
-    batch, first = segment.Batch(parts, v), Counter()
-    for seed in range(1500):
-        got = list(segment.Sampler(parts, batch, np.random.default_rng(seed)).samples(3))
-        keys = [tuple(batch.ids[e].tolist()) for e, _, _ in got]
-        assert len(set(keys)) == 3 and got[0][2] >= got[1][2] >= got[2][2]
-        for k, (_, p, _) in zip(keys, got):
-            assert p == pytest.approx(weights[k] - z)
-        first[keys[0]] += 1
-    best = max(weights, key=weights.get)
-    assert first[best] / 1500 == pytest.approx(np.exp(weights[best] - z), abs=0.02)
+    n, first, second = 3000, Counter(), Counter()
+    sampler = segment.Sampler(pa.array(["the tion"] * n), np.random.default_rng(0).integers(0, 2**63, n).astype(np.uint64), v)
+    held, limit = sampler.samples(3)
+    got = [[(tuple(sampler.lattice.ids[p.edges[a:b]].tolist()), q, t) for a, b, q, t in zip(p.first, p.first[1:], p.log_prob, p.top)] for p in held]
+    for one, two, three, rest in zip(*got, limit):
+        assert len({one[0], two[0], three[0]}) == 3 and one[2] >= two[2] >= three[2] >= rest
+        for ids, p, _ in (one, two, three):
+            assert p == pytest.approx(weights[ids] - z)
+        first[one[0]] += 1
+        second[two[0]] += 1
+    chance = {s: np.exp(w - z) for s, w in weights.items()}
+    for s in sorted(chance, key=chance.get)[-3:]:
+        assert first[s] / n == pytest.approx(chance[s], abs=0.02)
+        assert second[s] / n == pytest.approx(sum(chance[o] * chance[s] / (1 - chance[o]) for o in chance if o != s), abs=0.04)
+    few, limit = segment.Sampler(pa.array(["", "a"]), np.array([1, 2], np.uint64), v).samples(50)
+    every_a = {a for a, _ in every("▁a")}
+    assert {tuple(segment.spelled_ids(np.array([v.ids["▁"][0]]), np.array([0, 1]), v)[0].tolist())} == {a for a, _ in every("▁")}
+    assert sum(0 in p.rows for p in few) == 1 and sum(1 in p.rows for p in few) == len(every_a) and (limit == -np.inf).all()
     some = odd.where("text is null or length(text) < 10000")
     out = segment.decode_segmentations(segment.sample_segmentations(some, path), path)
     for r in out.join(some.select("doc_id", F.col("text").alias("t")).distinct(), "doc_id").collect():
