@@ -7,9 +7,12 @@ import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.functions.vectors import dot, l2_normalize
+
 
 def personalized_pagerank(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
     """(node, rank) after a fixed number of rounds; edges (source, target, weight, confidence), nodes and seeds (node).
@@ -39,6 +42,28 @@ def personalized_pagerank(edges: DataFrame, nodes: DataFrame, seeds: DataFrame,
     return rank.where("rank > 0").select("node", "rank")
 
 
+def ppr_seeds(nodes: DataFrame, query: Column, top: int = 3) -> DataFrame:
+    """(node, score) of the functions and classes among nodes (node, kind, embedding) nearest to a query vector.
+
+    The score is the inner product with the normalised query; ties go to the smaller node. Nodes
+    without an embedding, or with one of another length, are no seeds.
+    """
+    scored = nodes.where(F.col("kind").isin("function", "class")).select("node", dot(F.col("embedding"), l2_normalize(query)).alias("score"))
+    return scored.where("score is not null").orderBy(F.desc("score"), "node").limit(top)
+
+
+def candidates_ppr(rank: DataFrame, nodes: DataFrame, chunks: DataFrame, top: int = 100) -> DataFrame:
+    """(chunk, pos) of the files of the `top` nodes by rank (node, rank), ties to the smaller node.
+
+    Nodes have (node, file), chunks (chunk, path); pos, from 1, is that of a chunk's first node.
+    The ranked nodes are `top` rows at most, so numbering them takes one small task.
+    """
+    best = rank.orderBy(F.desc("rank"), "node").limit(top)
+    best = best.withColumn("pos", F.row_number().over(W.orderBy(F.desc("rank"), "node")))
+    files = best.join(nodes, "node").groupBy("file").agg(F.min("pos").alias("pos"))
+    return chunks.join(F.broadcast(files), chunks["path"] == files["file"]).select("chunk", "pos")
+
+
 def python_graph(sources: DataFrame) -> DataFrame:
     """Classes, functions, imports and calls of Python sources (path, text): (path, kind, name, line). Text that is no Python gives nothing."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

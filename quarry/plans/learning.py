@@ -202,12 +202,46 @@ def ppr(spark, sf_dir):
 _G = "(SELECT 'n' || c_nationkey AS source, p_brand AS target, count(*)::DOUBLE AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey GROUP BY ALL HAVING count(*) > 2)"
 
 
-def _ppr_sql(rounds=3):
-    ctes = f"e AS (SELECT source, target, weight / sum(weight) OVER (PARTITION BY source) AS share FROM {_G}), nodes AS (SELECT source AS node FROM e UNION SELECT target FROM e), r0 AS (SELECT node, CASE WHEN node = 'n1' THEN 1.0::DOUBLE ELSE 0.0 END AS rank FROM nodes)"
+def _ppr_ctes(edges, nodes, seeds, rounds=3):
+    """The rounds of PageRank as r0, r1, ...: edges (source, target, weight), nodes (node) and seeds (node)."""
+    ctes = f"e AS (SELECT source, target, weight / sum(weight) OVER (PARTITION BY source) AS share FROM {edges}), seeds AS ({seeds}), nodes AS ({nodes}), start AS (SELECT node, CASE WHEN node IN (SELECT node FROM seeds) THEN 1.0::DOUBLE / (SELECT count(*) FROM seeds) ELSE 0.0 END AS p FROM nodes), r0 AS (SELECT node, p AS rank FROM start)"
     for i in range(rounds):
-        ctes += f""", r{i + 1} AS (SELECT n.node, (0.15 + (SELECT coalesce(sum(rank), 0) FROM r{i} WHERE node NOT IN (SELECT source FROM e))) * (CASE WHEN n.node = 'n1' THEN 1 ELSE 0 END) + 0.85 * coalesce(f.flow, 0) AS rank
-          FROM nodes n LEFT JOIN (SELECT target, sum(rank * share) AS flow FROM r{i} JOIN e ON node = source GROUP BY target) f ON n.node = f.target)"""
-    return f"WITH {ctes} SELECT node, round(rank, 6) AS rank FROM r{rounds} WHERE rank > 0"
+        ctes += f""", r{i + 1} AS (SELECT n.node, (0.15 + (SELECT coalesce(sum(rank), 0) FROM r{i} WHERE node NOT IN (SELECT source FROM e))) * n.p + 0.85 * coalesce(f.flow, 0) AS rank
+          FROM start n LEFT JOIN (SELECT target, sum(rank * share) AS flow FROM r{i} JOIN e ON node = source GROUP BY target) f ON n.node = f.target)"""
+    return ctes
+
+
+_PPR = f"WITH {_ppr_ctes(_G, 'SELECT source AS node FROM e UNION SELECT target FROM e', 'SELECT chr(110) || 1 AS node')} SELECT node, round(rank, 6) AS rank FROM r3 WHERE rank > 0"
+
+
+def _code_nodes(spark, sf_dir):
+    """Every vector as a node: two of three are functions or classes, two neighbouring ones lie in one document."""
+    kind = F.element_at(F.array(F.lit("function"), F.lit("class"), F.lit("module")), (F.col("vec_id") % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node"), kind.alias("kind"), F.floor(F.col("vec_id") / 2).alias("file"), "embedding")
+
+
+def ppr_seeds(spark, sf_dir):
+    """The three functions or classes nearest to vec_id 0."""
+    query = table(spark, sf_dir, "embeddings").where("vec_id = 0").select(F.col("embedding").alias("q"))  # one row
+    found = G.ppr_seeds(_code_nodes(spark, sf_dir).crossJoin(F.broadcast(query)), F.col("q"))
+    return found.select("node", F.round("score", 6).alias("score"))
+
+
+def candidates_ppr(spark, sf_dir):
+    """Documents of the nodes that PageRank reaches from those seeds, over edges to the next node (weight 2) and to the half."""
+    nodes = _code_nodes(spark, sf_dir)
+    ids = nodes.select(F.col("node").alias("source"))
+    after = ids.join(ids.select(F.col("source").alias("target")), F.col("target") == F.col("source") + 1).withColumn("weight", F.lit(2.0))
+    edges = after.unionByName(ids.select("source", F.floor(F.col("source") / 2).alias("target"), F.lit(1.0).alias("weight"))).withColumn("confidence", F.lit(0.5))
+    rank = G.personalized_pagerank(edges, ids.select(F.col("source").alias("node")), ppr_seeds(spark, sf_dir).select("node"), rounds=3)
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk"), F.col("doc_id").alias("path"))
+    return G.candidates_ppr(rank.select("node", F.round("rank", 9).alias("rank")), nodes.select("node", "file"), chunks)
+
+
+_SEEDS = "SELECT e.vec_id AS node, list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.vec_id % 3 < 2 ORDER BY score DESC, node LIMIT 3"
+_NEXT = "(SELECT a.vec_id AS source, b.vec_id AS target, 2.0::DOUBLE AS weight FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 UNION ALL SELECT vec_id, vec_id // 2, 1.0 FROM embeddings)"
+_CANDIDATES = f"""WITH {_ppr_ctes(_NEXT, 'SELECT vec_id AS node FROM embeddings', _SEEDS)}, best AS (SELECT node, row_number() OVER (ORDER BY round(rank, 9) DESC, node) AS pos FROM r3 WHERE rank > 0)
+        SELECT doc_id AS chunk, min(pos) AS pos FROM best JOIN documents ON doc_id = node // 2 WHERE pos <= 100 GROUP BY doc_id"""
 
 
 def nodes_by_kind(spark, sf_dir):
@@ -267,7 +301,9 @@ QUERIES = {
         m AS (SELECT avg(delta) AS m FROM d JOIN t ON d.i = t.i GROUP BY r), k AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS k FROM m) SELECT round(max(m) FILTER (k = 5), 6) AS low, round(max(m) FILTER (k = 195), 6) AS high FROM k"""),
     "eval_run": (eval_run, f"SELECT round(avg(r), 6) AS mean, round(median(r), 6) AS median, round(stddev_pop(r), 6) AS std, count(*) AS n FROM (SELECT round(CASE WHEN len(golden) > 0 THEN len(list_intersect(retrieved[1:5], golden)) / len(golden) ELSE 0 END, 6) AS r FROM {_RUNS} WHERE source <> 'src0')"),
     "disjoint_split": (disjoint_split, "SELECT doc_id, source FROM documents WHERE doc_id % 2 = 1 AND source NOT IN (SELECT source FROM documents WHERE doc_id % 40 = 0)"),
-    "ppr": (ppr, _ppr_sql()),
+    "ppr": (ppr, _PPR),
+    "ppr_seeds": (ppr_seeds, f"SELECT node, round(score, 6) AS score FROM ({_SEEDS})"),
+    "candidates_ppr": (candidates_ppr, _CANDIDATES),
     "nodes_by_kind": (nodes_by_kind, f"SELECT CASE WHEN starts_with(node, 'n') THEN 'nation' ELSE 'brand' END AS kind, count(*) AS n FROM (SELECT source AS node FROM {_G} UNION SELECT target FROM {_G}) GROUP BY 1"),
     "neighbors": (neighbors, "SELECT o_orderkey, c_custkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 3"),
     "edge_lookup": (edge_lookup, "SELECT least(x, y) AS a, greatest(x, y) AS b, count(*) AS n FROM (SELECT l_partkey % 50 AS x, l_suppkey % 50 AS y FROM lineitem) WHERE x <> y GROUP BY ALL"),
