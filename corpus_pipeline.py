@@ -6,17 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import materialize, table
+from quarry.llm.nearcopies import near_copy_dedup
 from quarry.llm.packing import harmonic_pack
 from quarry.llm.quality import quality_rules
 from quarry.llm.queries import tokenizer_path
-from quarry.llm.simhash import near_dedup
 from quarry.llm.substring import substring_dedup
 from quarry.llm.toxicity import toxicity_scores
 
-#: Near duplicates: words of a shingle, and differing bits of the fingerprints. Random texts differ in
-#: about 32 bits, texts that share four fifths of their shingles in a few.
+#: Near duplicates: words of a shingle, and the least Jaccard similarity of the shingle sets.
 SHINGLE = 5
-RADIUS = 2
+SIMILARITY = 0.8
 WINDOW = 20
 CAPACITY = 2048
 
@@ -40,7 +39,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest doc_id, of each group of near duplicates."""
-    return near_dedup(docs, shingle=SHINGLE, radius=RADIUS)
+    return near_copy_dedup(docs, shingle=SHINGLE, similarity=SIMILARITY)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

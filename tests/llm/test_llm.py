@@ -339,3 +339,29 @@ def test_pipeline(spark, sf):
         else:
             docs = spark.createDataFrame(new, docs.schema)
     assert names == ["quality rules", "toxicity", "near duplicates", "substring dedup", "packing"]
+
+
+def test_near_copies(spark, sf, odd, none):
+    """Groups of the pipeline's near-duplicate stage are the components of all pairs of 5-word Jaccard 0.8 or more."""
+    import corpus_pipeline as cp
+    from quarry.llm import nearcopies
+
+    rng = random.Random(5)
+    base = [rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(60, 200)) for _ in range(30)]
+    texts = {i: " ".join(w) for i, w in enumerate(base)}
+    for i, w in enumerate(base):
+        texts[100 + i] = " ".join(w[:30] + ["X"] + w[31:])
+        texts[200 + i] = " ".join(w[: len(w) - i])
+    texts |= {1000 + r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    sets = {i: {tuple(w[j:j + 5]) for j in range(max(1, len(w) - 4))} for i, t in texts.items() for w in [words("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))]}
+    group, near = {i: i for i in sets}, [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    assert sum(sets[a] != sets[b] for a, b in near) > 30
+    for _ in sets:
+        for a, b in near:
+            group[a] = group[b] = min(group[a], group[b])
+    d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in cp.near_duplicates(spark, d, sf).collect()} == set(group.values())
+    assert {r.doc_id: r.component_id for r in nearcopies.near_copy_groups(d).collect()} == group
+    by = {r.doc_id: r.component_id for r in nearcopies.near_copy_groups(odd).collect()}
+    assert [by[i] for i in (0, 1, 2, 7)] == [0, 0, 0, 6] and by[None] in (None, 0)
+    assert nearcopies.near_copy_dedup(none).count() == 0 and nearcopies.near_copy_dedup(odd).columns == odd.columns
