@@ -6,10 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Labels of a host that can name a list entry, from the registered end on.
-MAX_LABELS = 6
-#: Leading path segments that can name a list entry.
-MAX_SEGMENTS = 4
 #: Seconds of the slices of time that intervals and captures meet in.
 SLICE = 7 * 86400
 
@@ -28,12 +24,12 @@ def path_of(url: Column) -> Column:
 
 
 def url_keys(url: Column) -> Column:
-    """The keys that could list a URL: "host" for it and its parent domains, and "host/a/b" for leading segments."""
+    """The keys that could list a URL: "host" for it and all its parent domains, and "host/a/b" for all leading segments."""
     labels = F.split(host_of(url), r"\.")
     n = F.size(labels)
-    hosts = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(MAX_LABELS))), lambda i: F.concat(F.lit("d:"), F.array_join(F.slice(labels, n - i + 1, i), ".")))
+    hosts = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("d:"), F.array_join(F.slice(labels, n - i + 1, i), ".")))
     segments = F.filter(F.split(path_of(url), "/"), lambda x: x != "")
-    m = F.least(F.size(segments), F.lit(MAX_SEGMENTS))
+    m = F.size(segments)
     paths = F.when(m > 0, F.transform(F.sequence(F.lit(1), m), lambda i: F.concat(F.lit("p:"), host_of(url), F.lit("/"), F.array_join(F.slice(segments, 1, i), "/")))).otherwise(F.array().cast("array<string>"))
     return F.when(host_of(url).isNotNull(), F.concat(hosts, paths)).otherwise(F.array().cast("array<string>"))
 

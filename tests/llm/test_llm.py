@@ -365,3 +365,11 @@ def test_near_copies(spark, sf, odd, none):
     by = {r.doc_id: r.component_id for r in nearcopies.near_copy_groups(odd).collect()}
     assert [by[i] for i in (0, 1, 2, 7)] == [0, 0, 0, 6] and by[None] in (None, 0)
     assert nearcopies.near_copy_dedup(none).count() == 0 and nearcopies.near_copy_dedup(odd).columns == odd.columns
+
+
+def test_urls_of_any_depth(spark):
+    """A host of 7 labels and a path of 5 segments can be listed."""
+    c = spark.createDataFrame([(1, "http://a.b.c.d.e.x.com/", 100), (2, "http://y.com/1/2/3/4/5/6?q", 100), (3, "http://b.c.d.e.x.com/", 100), (4, "http://y.com/1/2/3/4/6", 100)], "page_id long, url string, fetched long")
+    e = spark.createDataFrame([("d:a.b.c.d.e.x.com", 50, "add", "s"), ("p:y.com/1/2/3/4/5", 50, "add", "s")], "key string, ts long, action string, category string")
+    got = sorted((r.page_id, r.blocked, r.matched_key) for r in urlfilter.filter_urls(c, e).collect())
+    assert got == [(1, True, "a.b.c.d.e.x.com"), (2, True, "y.com/1/2/3/4/5"), (3, False, None), (4, False, None)]
