@@ -92,10 +92,10 @@ def text_edit(spark, sf_dir):
 
 
 def _folder(spark, sf_dir) -> str:
-    """All documents written out as one file a source, a line feed after each."""
+    """All documents written out as one file each, in a folder of their source, a line feed at the end."""
     root = scratch(spark, "workspace")
-    d = table(spark, sf_dir, "documents").select("source", "doc_id", "text").repartition("source").sortWithinPartitions("source", "doc_id")
-    d.select("source", "text").write.partitionBy("source").text(root)
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", "text").repartition("source", "doc_id").sortWithinPartitions("source", "doc_id")
+    d.write.partitionBy("source", "doc_id").text(root)
     return root
 
 
@@ -106,7 +106,7 @@ def scan_text_files(spark, sf_dir):
 
 def scan_code_files(spark, sf_dir):
     """As scan_text_files with the limits for code: 256 KiB and ten levels."""
-    f = S.scan_files(spark, _folder(spark, sf_dir), ("txt",), 256 << 10, 10)
+    f = S.scan_files(spark, _folder(spark, sf_dir), ("txt",), 256 << 10, 10, S.CODE_SKIPPED)
     return f.select(F.regexp_extract("path", "source=([^/]*)", 1).alias("source"), F.md5("text").alias("text_md5"))
 
 

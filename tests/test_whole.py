@@ -1,0 +1,29 @@
+"""Queries that do more than their listed SQL, against SQL for the whole job."""
+
+import pytest
+from compare import duck, rows
+
+from quarry.plans import catalog
+from quarry.sources import files as S
+
+WHOLE = {
+    "scan_text_files": "SELECT source, strlen(text) + 1 AS size_bytes, md5(text || chr(10)) AS text_md5 FROM documents WHERE strlen(text) + 1 <= 2097152",
+    "scan_code_files": "SELECT source, md5(text || chr(10)) AS text_md5 FROM documents WHERE strlen(text) + 1 <= 262144",
+}
+
+
+@pytest.mark.parametrize("name", sorted(WHOLE))
+def test_whole(spark, sf, name):
+    got = rows(catalog.queries()[name](spark, sf).toPandas())
+    assert got[1] and got == rows(duck(sf, WHOLE[name]))
+
+
+def test_scan_lists(spark, tmp_path):
+    """Only a file that is too large itself is left out, whatever its extension in the lists."""
+    for x in ("tsx", "hpp", "kt", "ps1", "pyx", "mm"):
+        (tmp_path / f"a.{x}").write_text("x")
+    for x in ("build", "vendor", ".claw-rag"):
+        (tmp_path / x).mkdir()
+        (tmp_path / x / "b.hpp").write_text("x")
+    assert {r.path for r in S.scan_files(spark, str(tmp_path)).collect()} == {"a.tsx", "a.hpp", "a.kt", "a.ps1", "build/b.hpp", "vendor/b.hpp"}
+    assert {r.path for r in S.scan_files(spark, str(tmp_path), S.CODE_EXTENSIONS, 256 << 10, 10, S.CODE_SKIPPED).collect()} == {"a.tsx", "a.hpp", "a.kt", "a.pyx", "a.mm"}
