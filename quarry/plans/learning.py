@@ -155,13 +155,13 @@ def paired_deltas(spark, sf_dir):
     return _two(spark, sf_dir).select("user_id", F.round("delta", 6).alias("delta"))
 
 
-def bootstrap_ci(spark, sf_dir, resamples: int = 200):
-    """Paired bootstrap of the mean delta at 95 per cent: draw j of resample r is pair (r * 7919 + j * 104729 + r * j) modulo n, so the draws are the same anywhere."""
+def bootstrap_ci(spark, sf_dir, resamples: int = 1000):
+    """Paired bootstrap of the mean delta at 95 per cent: draw j of resample r is pair md5("r,j") (its first 60 bits) modulo n, with replacement and the same anywhere."""
     t = _two(spark, sf_dir)
     rows = t.withColumn("i", F.row_number().over(W.orderBy("user_id")) - 1).select("i", "delta")  # a row per user: a summary
     n = t.agg(F.count("*").alias("n"))
     r = spark.range(resamples).withColumnRenamed("id", "r").crossJoin(F.broadcast(n)).select("r", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
-    r = r.select("r", ((F.col("r") * 7919 + F.col("j") * 104729 + F.col("r") * F.col("j")) % F.col("n")).alias("i"))
+    r = r.select("r", (F.conv(F.substring(F.md5(F.concat_ws(",", F.col("r").cast("string"), F.col("j").cast("string"))), 1, 15), 16, 10).cast("long") % F.col("n")).alias("i"))
     means = r.join(rows, "i").groupBy("r").agg(F.avg("delta").alias("m"))
     at = means.select("m", (F.row_number().over(W.orderBy("m")) - 1).alias("k"))
     low, high = int(resamples * 0.025), int(resamples * 0.975)

@@ -3,12 +3,16 @@
 import pytest
 from compare import duck, rows
 
-from quarry.plans import catalog
+from quarry.plans import catalog, learning
 from quarry.sources import files as S
 
+TWO = learning._TWO
 WHOLE = {
     "scan_text_files": "SELECT source, strlen(text) + 1 AS size_bytes, md5(text || chr(10)) AS text_md5 FROM documents WHERE strlen(text) + 1 <= 2097152",
     "scan_code_files": "SELECT source, md5(text || chr(10)) AS text_md5 FROM documents WHERE strlen(text) + 1 <= 262144",
+    "bootstrap_ci": f"""
+        WITH t AS (SELECT row_number() OVER (ORDER BY user_id) - 1 AS i, delta, count(*) OVER () AS n FROM {TWO}), d AS (SELECT r, ('0x' || substr(md5(r || ',' || j), 1, 15))::BIGINT % n AS i FROM (SELECT unnest(range(1000)) AS r), (SELECT i AS j, n FROM t)),
+        m AS (SELECT avg(delta) AS m FROM d JOIN t ON d.i = t.i GROUP BY r), k AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS k FROM m) SELECT round(max(m) FILTER (k = 25), 6) AS low, round(max(m) FILTER (k = 975), 6) AS high FROM k""",
 }
 
 
