@@ -114,7 +114,7 @@ def usage_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def assemble_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.substring("text", 1, 5).alias("d")))).alias("ds"))
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.col("text").alias("d")))).alias("ds"))
     return c.select("conv_id", F.md5(F.array_join(F.transform("ds", lambda x: x["d"]), "")).alias("text_md5"), F.size("ds").alias("n_deltas"))
 
 

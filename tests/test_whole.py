@@ -15,6 +15,7 @@ WHOLE = {
         m AS (SELECT avg(delta) AS m FROM d JOIN t ON d.i = t.i GROUP BY r), k AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS k FROM m) SELECT round(max(m) FILTER (k = 25), 6) AS low, round(max(m) FILTER (k = 975), 6) AS high FROM k""",
     "coverage_gap": "SELECT doc_id, 'missing' AS what FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'repeated' FROM labels GROUP BY doc_id HAVING count(*) > 1",
     "disjoint_split": "SELECT doc_id, source FROM documents WHERE source NOT IN ('src0', 'src1', 'src2', 'src3')",
+    "assemble_deltas": "SELECT conv_id, md5(string_agg(text, '' ORDER BY turn)) AS text_md5, count(*) AS n_deltas FROM conversations GROUP BY conv_id",
 }
 
 
