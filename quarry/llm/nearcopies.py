@@ -1,154 +1,405 @@
-"""Near duplicates by the Jaccard similarity of shingle sets: MinHash bands bring pairs together, the sets decide."""
+"""Near duplicates of a Jaccard similarity by SimHash: the operator of `simhash` with wider fingerprints.
+
+At five words and a similarity of 0.8 two texts' fingerprints differ in some 15 % of their
+bits, too many for blocks of equal bits to bring a pair together. So texts meet in buckets
+of MinHash bands, and in a bucket 512-bit SimHash fingerprints are compared bit-sliced:
+planes stored vertically, carry-save counters, blocks abandoned once all lanes exceed the
+radius. What stays is decided by the shingle sets themselves.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quarry.llm.common import materialize
+from quarry.llm.common import materialize, numbered, slices, without
 from quarry.llm.components import connected_components
+from quarry.llm.substring import window_hashes
 
 SEED = 42
+BITS = 512
 #: A pair meets if all ROWS values of one of BANDS bands agree: a chance of 0.9998 at similarity 0.8.
 BANDS = 28
 ROWS = 6
-#: Of the BANDS * ROWS values, the share that must agree before the sets are compared is this much below the similarity: five standard deviations.
-MARGIN = 0.15
-#: Shingles whose values are taken at once.
-CHUNK = 1 << 12
+#: Members of a bucket that one task holds against each other, at most; larger buckets are dealt into such blocks.
+BLOCK = 4096
+#: Buckets of at most so many members are compared side by side, many at once.
+SMALL = 64
 
 _RNG = np.random.default_rng(SEED)
-_A = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2)
-_P = np.uint64(0x9E3779B97F4A7C15)
+_XOR = _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
+_ODD = _RNG.integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
+_BAND = _RNG.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+_WIDE = _RNG.integers(0, 1 << 63, BITS // 64, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def radius_for(similarity: float) -> int:
+    """The bits in which fingerprints of sets of this similarity differ at most: over five standard deviations above the mean."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(BITS * p + 5.75 * math.sqrt(BITS * p * (1 - p)))
+
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z, and ASCII white space, only
+
+def _lower(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass").lower()  # of bytes: A-Z only
 
 
 def shingles(text: str | None, shingle: int) -> set[bytes]:
     """The distinct runs of `shingle` words; the whole text if it has fewer words, nothing if it has none."""
-    w = _words(text)
+    w = _lower(text).split()
     k = min(shingle, len(w))
     return {b" ".join(w[i:i + k]) for i in range(len(w) - k + 1)} if w else set()
 
 
-def minhash(found: list[bytes], shingle: int) -> np.ndarray:
-    """The least value of each of BANDS * ROWS hash functions over the shingles of at least one word."""
-    digest = xxhash.xxh64_intdigest
-    k = min(shingle, len(found))
-    w = np.fromiter((digest(x, SEED) for x in found), np.uint64, len(found))
-    n = len(found) - k + 1
-    h = w[:n].copy()
-    for i in range(1, k):
-        h = h * _P + w[i:i + n]
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(29)
-    least = np.full(len(_A), np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, n, CHUNK):
-        part = h[i:i + CHUNK]
-        for f in range(len(_A)):
-            least[f] = min(least[f], (part * _A[f] + _B[f]).min())
-    return least
-
-
-def _prints(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """(key, copy, sketch, bands) of every row: equal word sequences have one copy; the last two are null for a text without words."""
-    kind = docs.schema[key].dataType.simpleString()
+def shingle_hashes(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts in order: the distinct hashes of their shingles, and where each text's start (and the end)."""
+    h, _, n_words = window_hashes(texts, shingle)
+    count = np.where(n_words == 0, 0, np.maximum(1, n_words - shingle + 1))
+    text = np.repeat(np.arange(len(texts)), count)
+    all_h = np.empty(len(text), np.uint64)
+    long = np.repeat(n_words >= shingle, count)
+    all_h[long] = h
+    all_h[~long] = [xxhash.xxh64_intdigest(b" ".join(texts[i].split()), SEED) for i in np.flatnonzero((n_words > 0) & (n_words < shingle)).tolist()]
+    order = np.lexsort((all_h, text))
+    h, text = all_h[order], text[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (text[1:] != text[:-1])][: len(h)]
+    return h[new], np.searchsorted(text[new], np.arange(len(texts) + 1))
+
+
+def minhash_bands(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A key for each band of each non-empty text, whose hashes start at starts."""
+    low = (h >> np.uint64(32)).astype(np.uint32)
+    least = np.empty((len(starts), BANDS * ROWS), np.uint64)
+    for f in range(BANDS * ROWS):
+        least[:, f] = np.minimum.reduceat((low ^ _XOR[f]) * _ODD[f], starts)
+    keys = (_mixed(least.reshape(-1, BANDS, ROWS)) * _BAND).sum(axis=2, dtype=np.uint64)
+    return _mixed(keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
+def wide_fingerprints(h: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """SimHash of BITS bits of each text: bit i is set if over half of the distinct shingles' values have it."""
+    out = []
+    wide = _mixed(h[:, None] * _WIDE).view(np.uint8) if len(h) else np.zeros((0, BITS // 8), np.uint8)
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        total = np.zeros(BITS, np.int32)
+        for i in range(a, b, 255):  # so many add up in a byte
+            total += np.unpackbits(wide[i:min(b, i + 255)], axis=1).sum(axis=0, dtype=np.uint8)
+        out.append(np.packbits(total > (b - a) // 2).tobytes())
+    return out
+
+
+def planes(prints: np.ndarray) -> np.ndarray:
+    """Fingerprints (rows of bytes) stored vertically: row p has bit p of all of them, 64 a word."""
+    flat = np.zeros((-(-len(prints) // 64) * 64, BITS), np.uint8)
+    flat[: len(prints)] = np.unpackbits(prints, axis=1)
+    return np.packbits(np.ascontiguousarray(flat.T), axis=1, bitorder="little").view(np.uint64)
+
+
+class CarrySave:
+    """Vertical counters: per lane, how many of the bits that came in are set. Inputs wait until two can go through an adder."""
+
+    def __init__(self) -> None:
+        self.sums: list = []
+        self.waits: list = []
+
+    def add(self, x: np.ndarray, level: int = 0) -> None:
+        if level == len(self.sums):
+            self.sums.append(np.zeros_like(x))
+            self.waits.append(None)
+        y = self.waits[level]
+        if y is None:
+            self.waits[level] = x
+            return
+        s, self.waits[level] = self.sums[level], None
+        half = s ^ x
+        self.sums[level] = half ^ y
+        self.add((s & x) | (half & y), level + 1)
+
+    def settle(self) -> None:
+        """Take in what waits."""
+        level = 0
+        while level < len(self.sums):
+            if self.waits[level] is not None:
+                self.add(np.zeros_like(self.sums[level]), level)
+            level += 1
+
+    def exceeds(self, radius: int) -> np.ndarray:
+        """Lanes whose count (of what went through) is over the radius."""
+        over, equal = np.zeros_like(self.sums[0]), ~np.zeros_like(self.sums[0])
+        if radius >> len(self.sums):
+            return over
+        for level in range(len(self.sums) - 1, -1, -1):
+            s = self.sums[level]
+            if radius >> level & 1:
+                equal &= s
+            else:
+                over |= equal & s
+                equal &= ~s
+        return over
+
+
+def near_lanes(difference: Callable[[int], np.ndarray], radius: int, every: int = 128) -> np.ndarray | None:
+    """The lanes that differ in at most `radius` of BITS planes; None if a block was abandoned because all exceed it."""
+    counter = CarrySave()
+    for k in range(BITS):
+        counter.add(difference(k))
+        if k % every == every - 1 and k + 1 < BITS and not (~counter.exceeds(radius)).any():
+            return None
+    counter.settle()
+    return ~counter.exceeds(radius)
+
+
+def _lanes(words: np.ndarray) -> np.ndarray:
+    return np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=-1, bitorder="little")
+
+
+def across(rows: np.ndarray, lanes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): row i and lane j are within the radius; 64 rows at a time are held against all lanes."""
+    p, bits, found_i, found_j = planes(lanes), np.unpackbits(rows, axis=1), [], []
+    for at in range(0, len(rows), 64):
+        mask = (0 - bits[at:at + 64].T.astype(np.int64)).view(np.uint64)
+        near = near_lanes(lambda k: p[k][None, :] ^ mask[k][:, None], radius)
+        if near is not None:
+            i, j = np.nonzero(_lanes(near)[:, : len(lanes)])
+            found_i.append(i + at)
+            found_j.append(j)
+    return (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_i, found_j))
+
+
+def shifted(p: np.ndarray, d: int) -> np.ndarray:
+    """Planes in which lane i holds what lane i + d held."""
+    whole, rest = divmod(d, 64)
+    out = np.zeros_like(p)
+    w = p.shape[1] - whole
+    if w > 0:
+        out[:, :w] = p[:, whole:] >> np.uint64(rest)
+        if rest and w > 1:
+            out[:, : w - 1] |= p[:, whole + 1:] << np.uint64(64 - rest)
+    return out
+
+
+def side_by_side(group: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j), i < j, of one group (sorted) and within the radius: lane i meets lane i + d, over all groups of more than d at once."""
+    size = np.bincount(group)[group] if len(group) else group
+    found_i, found_j, d = [], [], 0
+    while len(at := np.flatnonzero(size > (d := d + 1))):
+        if d == 1 or len(at) < 0.75 * p.shape[1] * 64:
+            lanes = at
+            p = planes(prints[lanes])
+        q = shifted(p, d)
+        near = near_lanes(lambda k: p[k] ^ q[k], radius)
+        if near is None or len(lanes) <= d:
+            continue
+        ok = np.flatnonzero(_lanes(near)[: len(lanes) - d])
+        ok = ok[group[lanes[ok]] == group[lanes[ok + d]]]
+        found_i.append(lanes[ok])
+        found_j.append(lanes[ok + d])
+    return (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_i, found_j))
+
+
+def _prints(docs: DataFrame, key: str, text: str, shingle: int) -> tuple[DataFrame, list[str]]:
+    """The rows numbered, each with copy (equal word sequences have one), and the print and bands of a text with words."""
+    rows, names = numbered(docs)
+    where = names.index(text)
+    out = T.StructType([*rows.schema.fields, T.StructField("copy", T.BinaryType()), T.StructField("print", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            copy, sketch, bands = [], [], []
-            for x in batch.column(1):
-                found = _words(x.as_py())
-                copy.append(xxhash.xxh3_128_digest(b" ".join(found), SEED))
-                least = minhash(found, shingle) if found else None
-                sketch.append(None if least is None else (least >> np.uint64(56) ^ least).astype(np.uint8).tobytes())
-                bands.append(None if least is None else [xxhash.xxh64_intdigest(r.tobytes(), i) - (1 << 63) for i, r in enumerate(least.reshape(BANDS, ROWS))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(copy, pa.binary()), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["key", "copy", "sketch", "bands"])
+        for whole in batches:
+            for batch in slices(whole, whole.num_columns - 1):
+                texts = [_lower(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
+                h, bounds = shingle_hashes(texts, shingle)
+                full = np.flatnonzero(np.diff(bounds))
+                prints: list = [None] * len(texts)
+                bands: list = [None] * len(texts)
+                if len(full):
+                    for i, p, b in zip(full.tolist(), wide_fingerprints(h, np.r_[bounds[full], len(h)]), minhash_bands(h, bounds[full])):
+                        prints[i], bands[i] = p, b
+                copy = [xxhash.xxh3_128_digest(b" ".join(x.split()), SEED) for x in texts]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(copy, pa.binary()), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], out.names)
 
-    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, copy binary, sketch binary, bands array<long>")
+    read = rows.withColumn("text", F.col(f"c{where}").cast("string"))
+    return materialize(read.mapInArrow(run, out), "prints").withColumns({"key": F.col(f"c{names.index(key)}"), "text": F.col(f"c{where}").cast("string")}), names
 
 
-def _alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have the similarity: sketches first, then the sets themselves."""
-    least = int((similarity - MARGIN) * BANDS * ROWS)
+def _alike(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have the similarity."""
+
+    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, s = None, set()
+        for whole in batches:
+            for batch in slices(whole, 2):
+                ok = []
+                for a, x, y in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
+                    if a != last:
+                        last, s = a, shingles(x, shingle)
+                    t = shingles(y, shingle)
+                    both = len(s & t)
+                    ok.append(both / (len(s) + len(t) - both) >= similarity)
+                yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    held = materialize(texts.join(asked, "row", "left_semi"), "texts")
+    for end in ("a", "b"):
+        pairs = pairs.join(held.select(F.col("row").alias(end), F.col("text").alias(f"text_{end}")), end)
+    return materialize(pairs.select("a", "b", "text_a", "text_b").mapInArrow(same, "a long, b long"), "alike")
+
+
+def _first_pairs(buckets: DataFrame, nodes: DataFrame, radius: int) -> DataFrame:
+    """Every member against two of its bucket, so a large group of near copies takes links in proportion to its size; those within the radius."""
+    ends = buckets.groupBy("bucket").agg(F.min("node").alias("first"), F.min(F.struct(F.xxhash64("bucket", "node").alias("h"), "node"))["node"].alias("any"), F.count("*").alias("n")).where("n > 1")
+    ends = materialize(ends.select("bucket", "first", "any"), "ends")
+    pairs = buckets.join(ends, "bucket").select("node", F.explode(F.array("first", "any")).alias("other")).where("node <> other")
+    pairs = materialize(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "pairs")
+    for end in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("print").alias(f"print_{end}")), end)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                p, q = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
-                yield batch.select([0, 1]).filter(pa.array((p == q).sum(axis=1) >= least))
+                p, q = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (2, 3))
+                yield batch.select([0, 1]).filter(pa.array(np.bitwise_count(p ^ q).sum(axis=1) <= radius))
 
-    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, s = None, set()
+    return materialize(pairs.select("a", "b", "print_a", "print_b").mapInArrow(near, "a long, b long"), "close")
+
+
+def _other_pairs(buckets: DataFrame, nodes: DataFrame, groups: DataFrame, radius: int) -> DataFrame:
+    """Pairs of a bucket that lie in different groups so far and are within the radius.
+
+    Members outside a bucket's commonest group are held against all its members. Both sides
+    are dealt into blocks, so no task holds more than 2 * BLOCK members, however large a bucket is.
+    """
+    spark = buckets.sparkSession
+    held = buckets.join(groups, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    held = materialize(held, "held")
+    size = held.groupBy("bucket", "component").count().groupBy("bucket").agg(F.sum("count").alias("n"), F.count("*").alias("kinds"), F.max(F.struct("count", "component")).alias("most")).where("kinds > 1")
+    size = size.select("bucket", F.col("most.component").alias("common"), F.ceil(F.col("n") / BLOCK).cast("int").alias("n_lanes"), F.ceil((F.col("n") - F.col("most.count")) / BLOCK).cast("int").alias("n_rows"))
+    mixed = materialize(held.join(materialize(size, "sizes"), "bucket"), "mixed")
+    if mixed.isEmpty():
+        return spark.createDataFrame([], "a long, b long")
+    mixed = mixed.join(nodes.select("node", "print"), "node")
+    h = F.xxhash64("node")
+
+    def block(of, n):
+        return F.pmod(h, F.col(n)).cast("int").alias(of)
+
+    def every(of, n):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(of)
+
+    member = ["bucket", "node", "component", "print"]
+    lanes = mixed.select(*member, "n_lanes", block("lane_block", "n_lanes"), every("row_block", "n_rows"), F.lit(False).alias("stray"))
+    strays = mixed.where("component <> common").select(*member, "n_lanes", every("lane_block", "n_lanes"), block("row_block", "n_rows"), F.lit(True).alias("stray"))
+    dealt = lanes.unionByName(strays).select("bucket", "row_block", "lane_block", "stray", "node", "component", "print", (F.col("n_lanes") == 1).alias("whole"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            keys = np.stack([t.column(i).to_numpy().astype(np.int64) for i in range(3)], axis=1)
+            new = np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)]
+            starts = np.flatnonzero(new)
+            sizes = np.diff(np.r_[starts, len(keys)])
+            stray, node, component = t.column(3).to_numpy(), t.column(4).to_numpy(), t.column(5).to_numpy()
+            prints = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint8).reshape(-1, BITS // 8)
+            found = []
+            little = (sizes <= SMALL) & t.column(7).to_numpy()[starts]  # and all its members are lanes here
+            small = np.repeat(little, sizes)
+            if small.any():
+                at = np.flatnonzero(small & ~stray)
+                i, j = side_by_side(np.cumsum(new)[at], prints[at], radius)
+                found.append((at[i], at[j]))
+            for s, n, done_already in zip(starts.tolist(), sizes.tolist(), little.tolist()):
+                if not done_already:
+                    mine = np.arange(s, s + n)
+                    rows, lanes = mine[stray[mine]], mine[~stray[mine]]
+                    if len(rows):
+                        i, j = across(prints[rows], prints[lanes], radius)
+                        found.append((rows[i], lanes[j]))
+            for i, j in found:
+                apart = component[i] != component[j]
+                a, b = node[i[apart]], node[j[apart]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        held: pa.Table | None = None
         for batch in batches:
-            ok = []
-            for a, x, y in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
-                if a != last:
-                    last, s = a, shingles(x, shingle)
-                t = shingles(y, shingle)
-                both = len(s & t)
-                ok.append(both / (len(s) + len(t) - both) >= similarity)
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+            t = pa.Table.from_batches([batch])
+            held = t if held is None else pa.concat_tables([held, t])
+            if held.num_rows < 2 * BLOCK:
+                continue
+            last = [held.column(i)[-1].as_py() for i in range(3)]
+            same = np.logical_and.reduce([held.column(i).to_numpy() == x for i, x in enumerate(last)])
+            cut = held.num_rows - int(same.sum())  # rows are sorted, so the last block's are at the end
+            if cut:
+                yield from done(held.slice(0, cut).combine_chunks())
+                held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield from done(held.combine_chunks())
 
-    def joined(found: DataFrame, of: DataFrame, value: str) -> DataFrame:
-        for end in ("a", "b"):
-            found = found.join(of.select(F.col("node").alias(end), F.col(value).alias(f"{value}_{end}")), end)
-        return found.select("a", "b", f"{value}_a", f"{value}_b")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["bucket", "row_block", "lane_block"]
+    return dealt.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long")
 
-    close = materialize(joined(pairs, nodes, "sketch").mapInArrow(near, "a long, b long"), "close")
-    return materialize(joined(close, texts, "text").mapInArrow(same, "a long, b long"), "alike")
+
+def _labelled(docs: DataFrame, key: str, text: str, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame, list[str]]:
+    """The numbered rows, (copy, component, first row by key, smallest key) of every copy, and the old names."""
+    if similarity < 0.8:
+        raise ValueError("the bands are made for similarities of 0.8 or more")
+    radius = radius_for(similarity)
+    rows, names = _prints(docs, key, text, shingle)
+    order = F.struct(F.col("key").isNull().alias("unknown"), F.col("key").alias("key"), F.col("row").alias("row"))
+    nodes = rows.groupBy("copy").agg(F.min(order).alias("least"), F.min("row").alias("node"), F.first("print").alias("print"), F.first("bands").alias("bands"))
+    nodes = materialize(nodes, "nodes")
+    buckets = nodes.where("bands is not null").select("node", F.explode("bands").alias("bucket"))
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    buckets = materialize(buckets.join(materialize(shared, "shared"), "bucket"), "buckets")
+    texts = rows.select("row", "text")
+    links = _alike(_first_pairs(buckets, nodes, radius), texts, shingle, similarity)
+    groups = materialize(connected_components(links), "groups")
+    rest = materialize(_other_pairs(buckets, nodes, groups, radius).distinct(), "rest")
+    if not rest.isEmpty():
+        more = _alike(rest, texts, shingle, similarity)
+        if not more.isEmpty():
+            groups = materialize(connected_components(links.unionAll(more)), "groups")
+    of = nodes.join(groups, "node", "left").select("copy", "least", F.coalesce("component", "node").alias("component"))
+    return rows, materialize(of, "labelled"), names
 
 
 def near_copy_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Every row and its group: (doc_id, component_id), the smallest key reachable over pairs of at least the Jaccard similarity.
+    """Every row and its group: (key, component_id), the smallest key reachable over pairs of at least the Jaccard similarity.
 
     Equal word sequences are one node. Nodes that agree in a band of MinHash values meet in
     a bucket. First each is held against two members of its bucket, so a large group of near
     copies takes links in proportion to its size; then, in buckets that still hold several
-    groups, every pair of different groups is. No pair that met goes unexamined unless it is
-    linked already, and no link rests on an estimate: shingle sets decide. Texts without
-    words are copies of each other. A row with a null key has the group of its copies, or a null group.
-    """
-    prints = materialize(_prints(docs, key, text, shingle), "prints")
-    nodes = prints.where("key is not null").groupBy("copy").agg(F.min("key").cast("long").alias("node"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
-    nodes = materialize(nodes, "nodes")
-    buckets = nodes.where("bands is not null").select("node", F.explode("bands").alias("bucket"))
-    ends = buckets.groupBy("bucket").agg(F.min("node").alias("first"), F.min(F.struct(F.xxhash64("bucket", "node").alias("h"), "node"))["node"].alias("any"), F.count("*").alias("n")).where("n > 1")
-    buckets = materialize(buckets.join(ends, "bucket"), "buckets")
-    pairs = buckets.select("node", F.explode(F.array("first", "any")).alias("other")).where("node <> other")
-    pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    asked = buckets.select("node").distinct()
-    texts = docs.select(F.col(key).cast("long").alias("node"), F.col(text).cast("string").alias("text")).join(asked, "node", "left_semi").dropDuplicates(["node"])
-    texts = materialize(texts, "texts")
-    links = _alike(pairs, nodes, texts, shingle, similarity)
-    groups = materialize(connected_components(links), "groups")
-
-    held = buckets.select("bucket", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = held.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    held = materialize(held.join(mixed, "bucket", "left_semi"), "mixed")
-    x, y = held.alias("x"), held.alias("y")
-    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")))
-    rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = _alike(rest, nodes, texts, shingle, similarity)
-    if not more.isEmpty():
-        groups = connected_components(links.unionAll(more))
+    groups, all pairs of different groups are compared, bit-sliced. No pair that met goes
+    unexamined unless it is linked already, and no link rests on an estimate: shingle sets decide.
 
-    labelled = nodes.join(groups, "node", "left").select(F.col("copy").alias("_copy"), F.coalesce("component", "node").alias("component_id"))
-    out = prints.join(labelled, prints["copy"] == labelled["_copy"], "left")
-    return out.select(F.col("key").alias(key), "component_id")
+    Null and empty texts are copies of each other. Rows that repeat a key are rows of their own;
+    rows with a null key are in their copies' group, whose id is null only if all its keys are.
+    An empty table gives an empty result. Other columns are left out, whatever their names.
+    """
+    rows, of, _ = _labelled(docs, key, text, shingle, similarity)
+    ids = of.groupBy("component").agg(F.min("least")["key"].alias("component_id"))
+    ids = materialize(of.select("copy", "component").join(materialize(ids, "ids"), "component").select("copy", "component_id"), "copies")
+    return rows.select("key", "copy").join(ids, "copy").select(F.col("key").alias(key), "component_id")
 
 
 def near_copy_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs without all but the first row (smallest key) of each group; rows with a null key stay."""
-    first = near_copy_groups(docs, key, text, shingle, similarity).where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_first")).distinct()
-    kept = docs.join(first, docs[key] == first["_first"], "left_semi").dropDuplicates([key])
-    return kept.unionByName(docs.where(F.col(key).isNull()))
+    """docs with one row of each group of near copies: the one with the smallest key, of equal keys the first.
+
+    Rows with a null key come after all others of their group. Nothing else goes: rows that
+    share a key but no group all stay. An empty table gives an empty result.
+    """
+    rows, of, names = _labelled(docs, key, text, shingle, similarity)
+    firsts = of.groupBy("component").agg(F.min("least")["row"].alias("kept"))
+    gone = of.select("copy", "component").join(materialize(firsts, "firsts"), "component").select("copy", "kept")
+    gone = rows.select("row", "copy").join(materialize(gone, "copies"), "copy").where("row <> kept")
+    return without(rows, materialize(gone.select("row"), "gone"), names)
