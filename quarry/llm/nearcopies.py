@@ -128,12 +128,10 @@ class CarrySave:
         self.add((s & x) | (half & y), level + 1)
 
     def settle(self) -> None:
-        """Take in what waits."""
-        level = 0
-        while level < len(self.sums):
-            if self.waits[level] is not None:
+        """Take in what waits. A count of at most BITS has no carry beyond these levels."""
+        for level in range(BITS.bit_length()):
+            if level < len(self.sums) and self.waits[level] is not None:
                 self.add(np.zeros_like(self.sums[level]), level)
-            level += 1
 
     def exceeds(self, radius: int) -> np.ndarray:
         """Lanes whose count (of what went through) is over the radius."""

@@ -373,3 +373,24 @@ def test_urls_of_any_depth(spark):
     e = spark.createDataFrame([("d:a.b.c.d.e.x.com", 50, "add", "s"), ("p:y.com/1/2/3/4/5", 50, "add", "s")], "key string, ts long, action string, category string")
     got = sorted((r.page_id, r.blocked, r.matched_key) for r in urlfilter.filter_urls(c, e).collect())
     assert got == [(1, True, "a.b.c.d.e.x.com"), (2, True, "y.com/1/2/3/4/5"), (3, False, None), (4, False, None)]
+
+
+def test_bit_sliced_comparison():
+    """Wide fingerprints compared by planes and carry-save counters against plain counts of differing bits."""
+    from quarry.llm import nearcopies
+
+    rng = np.random.default_rng(0)
+    base = rng.integers(0, 256, nearcopies.BITS // 8, np.uint8)
+    prints = []
+    for i in range(300):
+        bits = np.unpackbits(base)
+        bits[rng.choice(nearcopies.BITS, int(rng.integers(0, nearcopies.BITS if i % 2 else 90)), replace=False)] ^= 1
+        prints.append(np.packbits(bits))
+    prints = np.stack(prints)
+    far = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2)
+    group = np.sort(rng.integers(0, 40, len(prints)))
+    for radius in (0, 1, nearcopies.radius_for(0.8), nearcopies.BITS - 1, nearcopies.BITS):
+        got = zip(*(x.tolist() for x in nearcopies.across(prints[:130], prints, radius)))
+        assert sorted(got) == [tuple(x) for x in np.argwhere(far[:130] <= radius).tolist()]
+        got = zip(*(x.tolist() for x in nearcopies.side_by_side(group, prints, radius)))
+        assert sorted(got) == [(a, b) for a, b in np.argwhere(far <= radius).tolist() if a < b and group[a] == group[b]]
