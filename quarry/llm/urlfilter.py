@@ -65,10 +65,8 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", fetch
     c = captures.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keep)], F.col(url).alias("_url"), F.col(fetched).cast("long").alias("_t"))
     asked = c.where(F.col("_t").isNotNull()).select("_url", "_t").distinct()
     asked = asked.select("_url", "_t", F.explode(url_keys(F.col("_url"))).alias("key"), F.floor(F.col("_t") / slice_s).alias("_slice"))
-    span = asked.agg(F.min("_slice").alias("_lo"), F.max("_slice").alias("_hi"))
-    v = validity(entries).crossJoin(F.broadcast(span))  # one row
-    first, last = F.greatest(F.floor(F.col("start") / slice_s), F.col("_lo")), F.least(F.coalesce(F.floor((F.col("until") - 1) / slice_s), F.col("_hi")), F.col("_hi"))
-    v = v.where(first <= last).select("key", "category", "start", "until", F.explode(F.sequence(first, last)).alias("_slice"))
+    present = asked.select("key", "_slice").distinct()  # an entry is dealt to slices that captures of its key lie in, no others
+    v = validity(entries).join(present, "key").where((F.floor(F.col("start") / slice_s) <= F.col("_slice")) & (F.col("until").isNull() | (F.floor((F.col("until") - 1) / slice_s) >= F.col("_slice"))))
     hit = asked.join(v, ["key", "_slice"]).where((F.col("start") <= F.col("_t")) & (F.col("until").isNull() | (F.col("_t") < F.col("until"))))
     best = hit.groupBy("_url", "_t").agg(F.count("*").alias("n"), F.min(F.struct((-F.length("key")).alias("l"), F.col("key"), F.col("category"))).alias("b"))
     best = best.select(F.col("_url").alias("_u"), F.col("_t").alias("_s"), "n", "b")

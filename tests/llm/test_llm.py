@@ -394,3 +394,12 @@ def test_bit_sliced_comparison():
         assert sorted(got) == [tuple(x) for x in np.argwhere(far[:130] <= radius).tolist()]
         got = zip(*(x.tolist() for x in nearcopies.side_by_side(group, prints, radius)))
         assert sorted(got) == [(a, b) for a, b in np.argwhere(far <= radius).tolist() if a < b and group[a] == group[b]]
+
+
+def test_urls_at_odd_times(spark):
+    """Fetch times far off and below zero are judged like any other; open entries take no slice that no capture has."""
+    times = [-(1 << 62), -1, 0, 100, 253402300799, 1 << 62]
+    c = spark.createDataFrame([(i, "http://x.com/", t) for i, t in enumerate(times)], "page_id long, url string, fetched long")
+    e = spark.createDataFrame([("d:x.com", 50, "add", f"s{i}") for i in range(200)] + [("d:x.com", -5, "add", "o"), ("d:x.com", 1, "remove", "o")], "key string, ts long, action string, category string")
+    got = {r.page_id: r.n_matches for r in urlfilter.filter_urls(c, e).collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 200, 4: 200, 5: 200}
