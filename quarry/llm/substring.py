@@ -111,10 +111,11 @@ def spans(mask: np.ndarray) -> list[dict]:
     return [{"start": int(a), "end": int(b)} for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))]
 
 
-def _ordered(t: pa.Table) -> tuple[list, list[bytes]]:
-    """Keys and UTF-8 texts of a batch in the order that decides what is earlier."""
-    rows = sorted(zip(t.column("key").to_pylist(), ((x or "").encode("utf-8", "surrogatepass") for x in t.column("text").to_pylist())), key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0, r[1]))
-    return [k for k, _ in rows], [x for _, x in rows]
+def _ordered(t: pa.Table) -> tuple[np.ndarray, list[bytes]]:
+    """The order of a batch's rows that decides what is earlier, and their UTF-8 texts in it."""
+    keys, texts = t.column("key").to_pylist(), [(x or "").encode("utf-8", "surrogatepass") for x in t.column("text").to_pylist()]
+    order = sorted(range(len(keys)), key=lambda i: (keys[i] is not None, keys[i] if keys[i] is not None else 0, texts[i]))
+    return np.array(order, np.int64), [texts[i] for i in order]
 
 
 def _unique(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -154,21 +155,23 @@ def _unpack(b: bytes) -> np.ndarray:
     return np.cumsum(gap, dtype=np.uint64)
 
 
-def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 20) -> DataFrame:
+def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 20, keep: tuple[str, ...] = ()) -> DataFrame:
     """Remove every word that a window of `window` words covers whose word sequence also starts earlier.
 
     Earlier is a smaller key, or the same document and a smaller position; windows are
     judged on the input. Returns (key, n_words, n_removed, kept_text, removed): what stays
-    joined by single spaces, and the maximal intervals [start, end) of removed words.
+    joined by single spaces, and the maximal intervals [start, end) of removed words. The
+    columns of `keep` follow, each row with its own; their names must differ from those.
 
-    Null and empty texts have no words and an empty kept_text. A row with a null key
+    The key is an integer column. Null and empty texts have no words and an empty kept_text. A row with a null key
     comes before all others; rows that repeat a key come in the order of their texts,
-    so of equal rows the first stays. An empty table gives an empty result. Other
-    columns are left out.
+    so of equal rows the first stays. An empty table gives an empty result. Columns
+    that are not in `keep` are left out.
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType
-    source = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    through = [c for c in keep if c != text]  # the text goes along anyway
+    source = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), *[F.col(c).alias(f"keep{i}") for i, c in enumerate(through)])
     units = F.sequence(F.lit(0), (F.coalesce(F.octet_length("text"), F.lit(0)) / UNIT_BYTES).cast("int"))
     size = source.select(F.sum(F.octet_length("text"))).first()[0] or 0
     n_batches = max(1, -(-size // BATCH_BYTES))
@@ -179,10 +182,10 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     @F.pandas_udf(T.IntegerType())
     def batch_of(k: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, k.fillna(np.iinfo(np.int64).min).to_numpy(np.int64), side="left").astype(np.int32))
+        return pd.Series(np.searchsorted(cuts, k.to_numpy(np.int64), side="left").astype(np.int32))
 
     n_tasks = partitions_for(spark, size, 32 << 20)
-    dealt = source.withColumn("batch", batch_of(F.col("key").cast("long"))).repartition(n_tasks, "batch")
+    dealt = source.withColumn("batch", batch_of(F.coalesce(F.col("key").cast("long"), F.lit(-(1 << 63))))).repartition(n_tasks, "batch")
 
     def hashes(t: pa.Table) -> pa.Table:
         _, texts = _ordered(t)
@@ -209,10 +212,12 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     out = T.StructType([
         T.StructField(key, kind), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()),
         T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
+        *[T.StructField(c, T.StringType() if c == text else docs.schema[c].dataType) for c in keep],
     ])
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys, texts = _ordered(left)
+        order, texts = _ordered(left)
+        left = left.take(pa.array(order))
         u, inverse, is_first, first, n_words = _unique(texts, window)
         at = _range_of(u, n_ranges)
         earlier = np.zeros(len(u), bool)
@@ -231,6 +236,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
                 removed.append([])
             n_removed.append(b - a - len(found))
             kept.append(b" ".join(found).decode("utf-8", "surrogatepass"))
-        return pa.table({key: pa.array(keys, left.column("key").type), "n_words": pa.array(n_words), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(kept, pa.string()), "removed": pa.array(removed, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))})
+        found = [left.column("key"), pa.array(n_words), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(removed, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
+        return pa.Table.from_arrays([*found, *[left.column("text" if c == text else f"keep{through.index(c)}") for c in keep]], names=out.names)
 
     return dealt.groupBy("batch").cogroup(bits.groupBy("batch")).applyInArrow(remove, out)

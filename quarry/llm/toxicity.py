@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm.common import materialize
 
@@ -238,8 +239,8 @@ def learn_lexicon(texts: DataFrame, n_toxic: int, n_clean: int) -> dict[str, flo
     return {r.entry: r.odds for r in c.orderBy(F.desc("z"), "entry").limit(MAX_LEARNED).collect()}
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """Score every row: (key, held_out, score, predicted).
+def toxicity_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", train_rows: int = TRAIN_ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Score every row: (key, held_out, score, predicted) and the columns of `keep`, each row with its own.
 
     A bounded sample of labelled rows (train_rows at most, by a hash of their key, never a
     held-out one) is fitted: one half teaches the lexicon, the other the trees and, out of
@@ -249,26 +250,28 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
 
     Null and empty texts are scored like any other, by all-zero features. Repeated rows get
     equal scores. Without labels every score is 0; with labels of one kind it is that kind.
-    An empty table gives an empty result. Other columns of docs are left out.
+    An empty table gives an empty result. Columns of docs that are not in `keep`, whose names
+    must differ from those above, are left out and are never inputs of a score.
     """
-    kind = docs.schema[key].dataType.simpleString()
+    through = [T.StructField(f"keep{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]
+    read_as, scored_as = (T.StructType([T.StructField("key", docs.schema[key].dataType), *more, *through]) for more in ([T.StructField("x", T.ArrayType(T.DoubleType()))], [T.StructField("score", T.DoubleType())]))
     k = F.col("key")
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).alias("key")).agg(F.max(F.col(label).cast("int")).alias("toxic"))
-    source = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    source = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), *[F.col(c).alias(f"keep{i}") for i, c in enumerate(keep)])
     known = known.join(source.select("key").distinct(), "key", "left_semi")
     sample = materialize(known.orderBy(F.xxhash64("key"), "key").limit(train_rows), "labelled")
     part = F.xxhash64(k, F.lit(1)).bitwiseAND(F.lit(1))
     teach, fit = sample.where(part == 0), sample.where(part == 1)
     n = {r.toxic: r["count"] for r in teach.groupBy("toxic").count().collect()}
-    lexicon = learn_lexicon(source.join(F.broadcast(teach), "key"), n.get(1, 0), n.get(0, 0))
+    lexicon = learn_lexicon(source.select("key", "text").join(F.broadcast(teach), "key"), n.get(1, 0), n.get(0, 0))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(lexicon)
         for batch in batches:
             rows = [reader.features(x.as_py() or "") for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["key", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64())), *batch.columns[2:]], read_as.names)
 
-    features = materialize(source.mapInArrow(read, f"key {kind}, x array<double>"), "features")
+    features = materialize(source.mapInArrow(read, read_as), "features")
     rows = features.join(F.broadcast(fit), "key").orderBy(F.xxhash64("key"), "key").select("x", "toxic").limit(2 * train_rows).toArrow()
     x = np.array(rows.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
     model = Model(x, np.array(rows.column("toxic").to_pylist(), float))
@@ -277,7 +280,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
         for batch in batches:
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
             s = np.clip(model.score(x), 0.0, 1.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s)], ["key", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), *batch.columns[2:]], scored_as.names)
 
-    scored = features.mapInArrow(score, f"key {kind}, score double")
-    return scored.select(k.alias(key), held_out(k).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = features.mapInArrow(score, scored_as)
+    return scored.select(k.alias(key), held_out(k).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *[F.col(f"keep{i}").alias(c) for i, c in enumerate(keep)])

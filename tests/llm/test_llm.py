@@ -403,3 +403,25 @@ def test_urls_at_odd_times(spark):
     e = spark.createDataFrame([("d:x.com", 50, "add", f"s{i}") for i in range(200)] + [("d:x.com", -5, "add", "o"), ("d:x.com", 1, "remove", "o")], "key string, ts long, action string, category string")
     got = {r.page_id: r.n_matches for r in urlfilter.filter_urls(c, e).collect()}
     assert got == {0: 0, 1: 1, 2: 1, 3: 200, 4: 200, 5: 200}
+
+
+def test_pipeline_rows_apart(spark, sf):
+    """Rows that share a doc_id, or have none, are judged, cut and kept each by its own text; extra columns stay."""
+    import corpus_pipeline as cp
+
+    rng = random.Random(3)
+    good = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r.text and 120 < len(r.text.split()) < 400 and r.lang == "en"]
+    judged = {r.doc_id: r.kept for r in quality.quality_rules(spark.createDataFrame(list(enumerate(good)), "doc_id long, text string").selectExpr("*", "'en' lang")).collect()}
+    a, b, c = [t for i, t in enumerate(good) if judged[i]][:3]
+    shared = " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(40))
+    data = [(5, "junk", "en", "s", 4, 1), (5, a, "en", "s", len(a), 2), (None, "junk", "en", "s", 4, 3), (None, b, "en", "s", len(b), 4), (9, c, "en", "s", len(c), 5), (9, None, "en", None, None, 6)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, kept int")
+    assert sorted(r.kept for r in cp.quality(spark, docs, sf).collect()) == [2, 4, 5]
+    assert cp.toxicity(spark, docs, sf).columns == docs.columns
+    assert cp.toxicity(spark, docs.limit(0), sf).count() == cp.quality(spark, docs.limit(0), sf).count() == cp.substrings(spark, docs.limit(0), sf).count() == 0
+    scored = {(r.doc_id, r.n): r.predicted for r in toxicity.toxicity_scores(docs.withColumnRenamed("kept", "n"), spark.read.parquet(f"{sf}/labels.parquet"), keep=("n",)).collect()}
+    assert sorted(r.kept for r in cp.toxicity(spark, docs, sf).collect()) == sorted(n for (_, n), p in scored.items() if p == 0) and len(scored) == 6
+
+    data = [(5, "x " + shared + " one  two", "en", "s", 1, 1), (5, "y three", "en", "s", 1, 2), (None, shared, "en", "s", 1, 3), (None, "z  kept as is", "en", "s", 1, 4), (7, "four " + shared, "en", "s", 1, 5), (7, None, "en", "s", None, 6)]
+    got = {r.kept: r.text for r in cp.substrings(spark, spark.createDataFrame(data, docs.schema), sf).collect()}
+    assert got == {1: "x one two", 2: "y three", 3: shared, 4: "z  kept as is", 5: "four", 6: None}
