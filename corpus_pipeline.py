@@ -20,34 +20,59 @@ WINDOW = 20
 CAPACITY = 2048
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in kept (doc_id, keep)."""
-    ids = kept.where("keep").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
+def _plain(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs with columns c0, c1, ... and `same`, and the columns that operators read of it.
+
+    `same` hashes text and language, so a row is known by doc_id and `same`: rows that share
+    both are judged alike, whatever their doc_id (null and repeated ones too) and however
+    their table is read again. Of columns that share a name the first is read.
+    """
+    at = {c: f"c{i}" for i, c in reversed(list(enumerate(docs.columns)))}
+    text, lang = F.col(at["text"]), F.col(at["lang"])
+    rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).withColumn("same", F.xxhash64(F.coalesce(F.octet_length(text), F.lit(-1)), text, lang))
+    return rows, rows.select(F.col(at["doc_id"]).alias("doc_id"), text.alias("text"), lang.alias("lang"), "same")
+
+
+def _only(docs: DataFrame, rows: DataFrame, judged: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id and `same` are in judged (doc_id, same, keep) with keep."""
+    kept = materialize(judged.where("keep").select(F.col("doc_id").alias("_id"), F.col("same").alias("_same")).distinct(), "kept")
+    found = rows.join(kept, rows[f"c{docs.columns.index('doc_id')}"].eqNullSafe(kept["_id"]) & (rows["same"] == kept["_same"]), "left_semi")
+    return found.drop("same").toDF(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return _only(docs, quality_rules(docs).select("doc_id", F.col("kept").alias("keep")))
+    """Documents that the quality rules keep. Null and empty texts fail them; an empty table gives an empty one."""
+    rows, read = _plain(docs)
+    return _only(docs, rows, quality_rules(read, keep=("doc_id", "same")).select("doc_id", "same", F.col("kept").alias("keep")))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted toxic."""
-    scores = toxicity_scores(docs, table(spark, sf_dir, "labels"))
-    return _only(docs, scores.select("doc_id", (F.col("predicted") == 0).alias("keep")))
+    """Documents that are not predicted toxic. Every row is judged by its own text; an empty table gives an empty one."""
+    rows, read = _plain(docs)
+    scores = toxicity_scores(read, table(spark, sf_dir, "labels"), keep=("same",))
+    return _only(docs, rows, scores.select("doc_id", "same", (F.col("predicted") == 0).alias("keep")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest doc_id, of each group of near duplicates."""
+    """One document, the smallest doc_id, of each group of near duplicates; other rows that share a doc_id stay."""
     return near_copy_dedup(docs, shingle=SHINGLE, similarity=SIMILARITY)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that start earlier in the corpus; one that loses nothing keeps its text as it is."""
-    cut = substring_dedup(docs, window=WINDOW).where("n_removed > 0").select(F.col("doc_id").alias("_id"), "kept_text")
-    joined = docs.join(cut, docs["doc_id"] == cut["_id"], "left")
-    text = F.coalesce("kept_text", "text")
-    return joined.select(*[text.alias("text") if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else docs[c] for c in docs.columns])
+    """Documents without passages that start earlier in the corpus; one that loses nothing keeps its text as it is.
+
+    No row goes. Rows with a null doc_id come before all others, rows that share one in the
+    order of their texts, and each is cut by itself; an empty table gives an empty one.
+    """
+    at = {c: f"c{i}" for i, c in reversed(list(enumerate(docs.columns)))}
+    rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    id_, old = at["doc_id"], at["text"]
+    cut = substring_dedup(rows.withColumn("key", F.col(id_)), key="key", text=old, window=WINDOW, keep=tuple(rows.columns))
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col(old))
+    new = {old: text}
+    if "n_chars" in at:
+        new[at["n_chars"]] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return cut.select(*[new.get(c, F.col(c)).alias(c) for c in rows.columns]).toDF(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
