@@ -19,14 +19,23 @@ FAILURES = (
     ("tool_runtime", (("tool failed",), ("runtime tool",), ("tool runtime",))), ("workspace_mismatch", (("workspace", "mismatch"),)),
     ("plugin_startup", (("plugin",),)), ("mcp_handshake", (("mcp", "handshake"),)), ("mcp_startup", (("mcp",),)),
 )
-#: First words of shell commands by intent, in the order that decides.
-INTENTS = (
-    ("read_only", ("ls", "cat", "head", "tail", "grep", "find", "wc", "pwd", "echo", "sed", "awk", "sort", "diff")),
-    ("destructive", ("shred", "dd", "mkfs", "rm")), ("write", ("cp", "mv", "mkdir", "touch", "tee", "chmod", "chown", "ln")),
-    ("network", ("curl", "wget", "ssh", "scp", "ping")), ("process", ("kill", "pkill", "killall", "nohup")),
-    ("package", ("apt", "pip", "npm", "cargo", "brew", "yarn")), ("system_admin", ("sudo", "systemctl", "mount", "useradd")),
-)
-GIT_READ_ONLY = ("status", "log", "diff", "show", "branch", "remote", "blame")
+#: First words of shell commands by intent, in the order that decides; rm comes before the writes.
+INTENTS = tuple((name, tuple(words.split())) for name, words in (
+    ("read_only", """ls cat head tail less more wc sort uniq grep egrep fgrep find which whereis whatis man info file stat du df free
+        uptime uname hostname whoami id groups env printenv echo printf date cal bc expr test true false pwd tree diff cmp md5sum
+        sha256sum sha1sum xxd od hexdump strings readlink realpath basename dirname seq yes tput column jq yq xargs tr cut paste awk sed"""),
+    ("destructive", "shred wipefs rm"),
+    ("write", "cp mv rm mkdir rmdir touch chmod chown chgrp ln install tee truncate shred mkfifo mknod dd"),
+    ("network", "curl wget ssh scp rsync ftp sftp nc ncat telnet ping traceroute dig nslookup host whois ifconfig ip netstat ss nmap"),
+    ("process", "kill pkill killall ps top htop bg fg jobs nohup disown wait nice renice"),
+    ("package", "apt apt-get yum dnf pacman brew pip pip3 npm yarn pnpm bun cargo gem go rustup snap flatpak"),
+    ("system_admin", """sudo su chroot mount umount fdisk parted lsblk blkid systemctl service journalctl dmesg modprobe insmod rmmod
+        iptables ufw firewall-cmd sysctl crontab at useradd userdel usermod groupadd groupdel passwd visudo"""),
+))
+#: Subcommands of git that change nothing.
+GIT_READ_ONLY = tuple("status log diff show branch tag stash remote fetch ls-files ls-tree cat-file rev-parse describe shortlog blame bisect reflog config".split())
+#: Assignments before a command's first word.
+ASSIGNMENTS = r"""^([A-Za-z0-9_]+=("[^"]*"|'[^']*'|[^ \t"']*)[ \t]+)+"""
 
 
 def chunk_starts(text: Column, size: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP) -> Column:
@@ -102,9 +111,9 @@ def failure_class(text: Column) -> Column:
 
 
 def command_intent(command: Column) -> Column:
-    """One of nine intents by a command's first word; git by its subcommand, sed by its -i."""
+    """One of eight intents by a command's first word behind assignments; git by its subcommand, sed by its -i."""
     parts = F.split(F.trim(command), "[ \t]+")
-    first = parts[0]
+    first = F.split(F.regexp_replace(F.trim(command), ASSIGNMENTS, ""), "[ \t]+")[0]
     sub = F.get(F.filter(F.slice(parts, 2, 1 << 20), lambda p: ~F.startswith(p, F.lit("-"))), F.lit(0))
     out = F.when(first == "git", F.when(sub.isin(*GIT_READ_ONLY), "read_only").otherwise("write")).otherwise("unknown")
     for name, names in reversed(INTENTS):

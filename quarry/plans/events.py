@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.operators import policy
 from quarry.plans.common import table
 
 _PROVENANCE = ("live_lane", "test", "healthcheck", "replay", "transport")
@@ -236,12 +237,10 @@ def substring_join(spark, sf_dir):
 
 
 def scope_collisions(spark, sf_dir):
-    """Pairs of customers of a nation whose scopes (segment, or segment/digit) are equal or one within the other; the shorter scope."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).otherwise(F.concat_ws("/", "c_mktsegment", F.col("c_custkey") % 10)).alias("scope"))
-    s = c.select("c_nationkey", "scope").distinct()
-    a, b = s.alias("a"), s.alias("b")
-    j = a.join(b, (F.col("a.c_nationkey") == F.col("b.c_nationkey")) & (F.col("a.scope") < F.col("b.scope")) & F.startswith("b.scope", F.concat("a.scope", F.lit("/"))))
-    return j.select(F.col("a.c_nationkey").alias("nationkey"), F.col("a.scope").alias("scope"), F.col("b.scope").alias("within")).distinct()
+    """Customers of a nation whose scopes (segment, or segment/digit) are equal or one within the other, with the shorter scope."""
+    scope = F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).otherwise(F.concat_ws("/", "c_mktsegment", F.col("c_custkey") % 10))
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("nationkey"), F.col("c_custkey").cast("long").alias("custkey"), scope.alias("scope"))
+    return policy.scope_collisions(c, "nationkey", "custkey", "scope")
 
 
 def contract_eval(spark, sf_dir):
@@ -391,8 +390,10 @@ QUERIES = {
     "lane_completion": (lane_completion, f"SELECT lane, 'closeout' AS action FROM {_L} GROUP BY lane HAVING bool_or(event = 'finished') AND arg_max(status, event_id) = 'green' AND arg_max(event, event_id) <> 'failed'"),
     "substring_join": (substring_join, "SELECT DISTINCT event_id, token FROM events JOIN (VALUES ('click'), ('view'), ('err')) t(token) ON contains(event_type, token)"),
     "scope_collisions": (scope_collisions, """
-        WITH s AS (SELECT DISTINCT c_nationkey, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE c_mktsegment || '/' || (c_custkey % 10) END AS scope FROM customer)
-        SELECT DISTINCT a.c_nationkey::BIGINT AS nationkey, a.scope, b.scope AS within FROM s a JOIN s b ON a.c_nationkey = b.c_nationkey AND starts_with(b.scope, a.scope || '/')"""),
+        WITH s AS (SELECT c_nationkey AS g, c_custkey AS o, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE c_mktsegment || '/' || (c_custkey % 10) END AS scope FROM customer),
+        pairs AS (SELECT a.g, a.o, b.o AS other, CASE WHEN length(a.scope) <= length(b.scope) THEN a.scope ELSE b.scope END AS scope FROM s a JOIN s b
+          ON a.g = b.g AND a.o <> b.o AND (a.scope = b.scope OR starts_with(a.scope, b.scope || '/') OR starts_with(b.scope, a.scope || '/')))
+        SELECT g::BIGINT AS nationkey, o::BIGINT AS custkey, scope, count(DISTINCT other)::BIGINT AS others FROM pairs GROUP BY ALL"""),
     "contract_eval": (contract_eval, f"""
         SELECT event_id, len(m) = 0 AND data >= 2 AS satisfied, array_to_string(m, ',') AS missing FROM (SELECT *, list_filter([CASE WHEN event_id % 2 = 0 THEN 'tests' END, CASE WHEN event_id % 3 = 0 THEN 'review' END, CASE WHEN event_id % 5 = 0 THEN 'freshness' END], lambda x: x IS NOT NULL) AS m FROM {_L})"""),
     "freshness_policy": (freshness_policy, f"SELECT event_id, CASE WHEN data = 0 THEN 'fresh' WHEN event_id % 3 > 0 THEN 'diverged' ELSE 'stale' END AS state, CASE WHEN data = 0 THEN 'none' WHEN event_id % 3 > 0 THEN 'block' ELSE 'rebase' END AS action FROM {_L}"),

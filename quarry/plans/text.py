@@ -174,7 +174,8 @@ def summary_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ERRORS = ("prompt was not delivered", "Trust gate open", "branch is stale", "gateway timeout", "build failed", "test x broke", "tool runtime died", "workspace path mismatch", "plugin crash", "mcp handshake", "mcp gone", "disk full", "cargo check", "branch diverged")
-_COMMANDS = ("ls -la", "rm -rf x", "git status", "git -c a push", "curl http://x", "sed -i s/a/b/ f", "sed s/a/b/ f", "pip install x", "sudo reboot", "kill 3", "cp a b", "foo bar", "git diff HEAD")
+_COMMANDS = ("ls -la", "rm -rf x", "git status", "git -c a push", "curl http://x", "sed -i s/a/b/ f", "sed s/a/b/ f", "pip install x", "sudo reboot", "kill 3", "cp a b", "foo bar", "git diff HEAD",
+    "dd if=a of=b", "shred x", "less f", "rsync a b", "apt-get update", "ps aux", 'A=1 B="x y" cat f', "A=1", "git stash", "wipefs /dev/x", "chroot d")
 
 
 def failure_class(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,10 +198,11 @@ def _intent_sql() -> str:
     def names(xs):
         return ", ".join(f"'{x}'" for x in xs)
 
-    case = " ".join(f"WHEN p[1] IN ({names(xs)}) THEN '{n}'" for n, xs in T.INTENTS)
-    return f"""SELECT event_id, CASE WHEN p[1] = 'sed' AND contains(text, ' -i') THEN 'write' {case}
-      WHEN p[1] = 'git' THEN CASE WHEN list_filter(p[2:], lambda x: NOT starts_with(x, '-'))[1] IN ({names(T.GIT_READ_ONLY)}) THEN 'read_only' ELSE 'write' END ELSE 'unknown' END AS intent
-      FROM (SELECT *, string_split_regex(trim(text), '[ \\t]+') AS p FROM {_phrase_sql(_COMMANDS)})"""
+    case = " ".join(f"WHEN f IN ({names(xs)}) THEN '{n}'" for n, xs in T.INTENTS)
+    assigned = T.ASSIGNMENTS.replace("'", "''")
+    return f"""SELECT event_id, CASE WHEN f = 'sed' AND contains(text, ' -i') THEN 'write' {case}
+      WHEN f = 'git' THEN CASE WHEN list_filter(p[2:], lambda x: NOT starts_with(x, '-'))[1] IN ({names(T.GIT_READ_ONLY)}) THEN 'read_only' ELSE 'write' END ELSE 'unknown' END AS intent
+      FROM (SELECT *, string_split_regex(trim(text), '[ \\t]+') AS p, string_split_regex(regexp_replace(trim(text), '{assigned}', ''), '[ \\t]+')[1] AS f FROM {_phrase_sql(_COMMANDS)})"""
 
 
 CATEGORIES = (("boot", ("worker", "boot", "trust")), ("event_report", ("event", "report")), ("branch_recovery", ("branch", "recover")), ("docs_license", ("docs", "license")))

@@ -1,3 +1,4 @@
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
@@ -148,3 +149,27 @@ def test_stream_learning(spark, tmp_path):
 def test_ttl(spark):
     d = spark.createDataFrame([(datetime(2024, 1, 1), datetime(2024, 1, 1, 0, 0, 30), 1), (datetime(2024, 1, 1), datetime(2024, 1, 1, 0, 0, 29), 2)], "ts timestamp, now timestamp, k long")
     assert values(ST.fresh_completions(d), "k") == [2]
+
+
+def test_scope_collisions(spark):
+    """Against all pairs; equal scopes collide, siblings and other groups don't."""
+    from quarry.operators.policy import scope_collisions
+
+    data = [("x", 1, "a/b"), ("x", 2, "a/b"), ("x", 3, "a"), ("x", 4, "a/c"), ("x", 5, "ab"), ("y", 6, "a/b"), ("x", 1, "a"), ("x", 7, "a/b/c"), (None, 8, "a"), ("y", 9, None), ("x", 2, "a/b")]
+    pairs = set()
+    for g, o, s in data:
+        for h, p, t in data:
+            if g and s and t and g == h and o != p and (s == t or s.startswith(t + "/") or t.startswith(s + "/")):
+                pairs.add((g, o, min(s, t, key=len), p))
+    want = Counter((g, o, s) for g, o, s, _ in pairs)
+    got = {(r.g, r.o, r.s): r.others for r in scope_collisions(spark.createDataFrame(data, "g string, o long, s string"), "g", "o", "s").collect()}
+    assert got == want
+
+
+def test_command_intent(spark):
+    from quarry.functions.text import command_intent
+
+    want = {"dd if=a of=b": "write", "rm x": "destructive", "shred x": "destructive", "mkfs x": "unknown", "less x": "read_only", "rsync a b": "network", "apt-get x": "package", "ps": "process",
+            "A=1 B='c d' cat x": "read_only", "A=1": "unknown", "git stash": "read_only", "git -p push": "write", "git": "write", "sed -i x": "write", "su": "system_admin", "": "unknown"}
+    d = spark.createDataFrame([(c,) for c in want], "c string")
+    assert {r.c: r.i for r in d.select("c", command_intent(d.c).alias("i")).collect()} == want
