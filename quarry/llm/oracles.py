@@ -92,5 +92,59 @@ SELECT p.page_id, url, best.page_id IS NOT NULL AS blocked, coalesce(n, 0) AS n_
 FROM p LEFT JOIN best ON p.page_id = best.page_id"""
 
 
+_LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+_PHRASES = rf"""
+WITH piece AS (
+  SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), {_LETTERS}), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+f AS (
+  SELECT lang, phrase, k, count(*) AS f FROM (
+    SELECT lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') for i in range(1, len(w) - k + 2)]) AS phrase FROM w, (SELECT unnest([1, 2, 3, 4]) AS k))
+  GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cut AS (SELECT lang, phrase, f AS a, w, unnest(range(1, k)) AS i FROM c),
+s AS (
+  SELECT cut.lang, cut.phrase, a, i, x.f AS l, y.f AS r, 2000000::HUGEINT * a // (x.f::HUGEINT + y.f) AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = array_to_string(w[1:i], ' ') JOIN f y ON y.lang = cut.lang AND y.phrase = array_to_string(w[i + 1:], ' ')),
+low AS (SELECT lang, phrase, a, l, r, score FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+part AS (
+  SELECT lang, f, unnest(list_concat([array_to_string(w[i:i + 1], ' ') for i in range(1, len(w))], CASE WHEN len(w) = 4 THEN [array_to_string(w[1:3], ' '), array_to_string(w[2:4], ' ')] ELSE [] END)) AS phrase
+  FROM c WHERE k > 2),
+held AS (SELECT lang, phrase, max(f) AS longer FROM part GROUP BY ALL),
+kept AS (SELECT low.* FROM low LEFT JOIN held ON held.lang = low.lang AND held.phrase = low.phrase WHERE longer IS NULL OR 100 * longer::HUGEINT < 80 * a::HUGEINT)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM kept JOIN total ON total.lang = kept.lang QUALIFY rank <= 2000"""
+
+#: Words as op13 counts them; CRC-32 over the UTF-8 bytes, with its table made by the rule of its polynomial.
+_VARIANTS = rf"""
+WITH RECURSIVE step AS (
+  SELECT range AS i, range::BIGINT AS v, 0 AS k FROM range(256)
+  UNION ALL SELECT i, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, k + 1 FROM step WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS tab FROM step WHERE k = 8),
+run AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS w FROM documents) WHERE length(w) >= 5 GROUP BY ALL),
+raw AS (SELECT w, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || w)) AS x FROM run),
+hashed AS (
+  SELECT w, n, xor(list_reduce(list_prepend(4294967295::BIGINT, [('0x' || substr(x, j, 2))::BIGINT for j in range(1, len(x), 2)]), lambda a, b: xor(a // 256, tab[xor(a % 256, b) + 1])), 4294967295) AS h
+  FROM raw, crc),
+word AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+gap AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS g FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM word)),
+near AS (
+  SELECT DISTINCT word, near, near_n FROM (
+    SELECT a.word, b.word AS near, b.n AS near_n FROM gap a JOIN gap b ON a.g = b.g AND a.i = b.i AND a.word <> b.word
+    UNION ALL SELECT a.word, b.word, b.n FROM gap a JOIN word b ON a.g = b.word
+    UNION ALL SELECT b.word, a.word, a.n FROM gap a JOIN word b ON a.g = b.word)),
+best AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS form, max(near_n) AS form_n FROM near GROUP BY word),
+v AS (
+  SELECT word.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * n THEN form END AS form, CASE WHEN form_n >= 2 * n THEN form_n END AS form_n
+  FROM word LEFT JOIN best ON best.word = word.word),
+walk AS (SELECT word, coalesce(form, word) AS here, 0 AS k FROM v UNION ALL SELECT walk.word, v.form, k + 1 FROM walk JOIN v ON v.word = walk.here WHERE v.form IS NOT NULL),
+root AS (SELECT word, arg_max(here, k) AS root FROM walk GROUP BY word)
+SELECT v.word, form, root, n, n_near, form_n FROM v JOIN root ON root.word = v.word"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": _SUBSTRING, "op5_url_filters": _URLS, "op6_warc": _WARC, "op9_quality_rules": _quality()}
+    return {"op11_phrase_collocations": _PHRASES, "op13_spelling_variants": _VARIANTS, "op1_substring_dedup": _SUBSTRING, "op5_url_filters": _URLS, "op6_warc": _WARC, "op9_quality_rules": _quality()}

@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from quarry.llm.ann import nearest
 from quarry.llm.common import table
 from quarry.llm.html import extract_main_text
+from quarry.llm.katz import katz_scores
 from quarry.llm.packing import harmonic_pack
+from quarry.llm.phrases import collocations
 from quarry.llm.quality import quality_rules
 from quarry.llm.segment import decode_segmentations, sample_segmentations
 from quarry.llm.simhash import simhash_groups
+from quarry.llm.spelling import spelling_variants, word_counts
 from quarry.llm.substring import substring_dedup
 from quarry.llm.toxicity import toxicity_scores
 from quarry.llm.urlfilter import filter_urls, host_of
@@ -101,6 +104,24 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 phrases of each language whose parts mostly come together."""
+    return collocations(table(spark, sf_dir, "documents"), longest=4, least=30, top=2000)
+
+
+def op12_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability; those whose CRC-32 of doc_id (null: empty) is divisible by 10 are held out of training."""
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0
+    found = katz_scores(table(spark, sf_dir, "documents"), ~held_out)
+    return found.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of at least five letters and three occurrences, each with the commoner word it is a variant of."""
+    words = word_counts(table(spark, sf_dir, "documents"), drop_every=97, min_length=5).where("n >= 3")
+    return spelling_variants(words, least_ratio=2)
+
+
 def queries() -> dict:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -113,4 +134,7 @@ def queries() -> dict:
         "op8_harmonic_packing": op8_harmonic_packing,
         "op9_quality_rules": op9_quality_rules,
         "op10_html_extraction": op10_html_extraction,
+        "op11_phrase_collocations": op11_phrase_collocations,
+        "op12_katz_scores": op12_katz_scores,
+        "op13_spelling_variants": op13_spelling_variants,
     }

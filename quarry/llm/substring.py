@@ -62,17 +62,8 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
 
 
-def window_hashes(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts in order: every window's hash, the index of its first word, and each text's number of words.
-
-    Rolling in both steps: a word's hash is a difference of prefix sums of byte * B**i,
-    a window's one of word * A**j; both are shifted to a common origin by an inverse power.
-    """
-    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    starts, ends = word_bounds(data)
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word, as a difference of prefix sums of byte * B**i that an inverse power shifts to a common origin."""
     word = np.empty(len(starts), np.uint64)
     at = 0
     while at < len(starts):  # segments keep the tables of powers short, whatever a text's length
@@ -83,6 +74,20 @@ def window_hashes(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarr
         a, b = starts[at:to] - lo, ends[at:to] - lo
         word[at:to] = _mix((prefix[b] - prefix[a]) * _powers(pow(_BYTE, -1, 1 << 64), hi - lo)[a] + (b - a).astype(np.uint64))
         at = to
+    return word
+
+
+def window_hashes(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts in order: every window's hash, the index of its first word, and each text's number of words.
+
+    Rolling in both steps: a window's hash is a difference of prefix sums of word * A**j, as a word's is one of bytes.
+    """
+    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    starts, ends = word_bounds(data)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+    word = word_hashes(data, starts, ends)
     text_ends = np.cumsum(lengths + 1)
     n_words = np.diff(np.r_[0, np.searchsorted(starts, text_ends)])
     n = len(word)
