@@ -127,3 +127,12 @@ def keywords(text: Column, limit: int = 8, least: int = 3) -> Column:
     found = F.filter(found, lambda k: (F.length(k) >= least) & k.rlike("[A-Z_]"))
     ordered = F.transform(F.sort_array(F.transform(found, lambda k, i: F.struct((-F.length(k)).alias("l"), i.alias("i"), k.alias("k")))), lambda s: s["k"])
     return ordered
+
+
+def import_files(text: Column) -> Column:
+    """Files that a text's import lines may mean: the module's first part as `x.py` and `x/__init__.py`, each once."""
+    lines = F.transform(text_lines(text), lambda x: F.trim(F.translate(x, "\t", " ")))
+    module = F.transform(lines, lambda x: F.when(F.startswith(x, F.lit("from ")), F.regexp_extract(x, "^from ([^ ]*)", 1)).when(F.startswith(x, F.lit("import ")), F.regexp_extract(x, "^import ([^ ,]*)", 1)))
+    top = F.transform(F.array_compact(module), lambda x: F.split_part(F.rtrim(x, F.lit(",")), F.lit("."), F.lit(1)))
+    named = F.array_distinct(F.filter(top, lambda x: ~x.isin("", "import")))
+    return F.flatten(F.transform(named, lambda x: F.array(F.concat(x, F.lit(".py")), F.concat(x, F.lit("/__init__.py")))))

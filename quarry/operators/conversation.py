@@ -39,35 +39,6 @@ def chatty_runs(messages: DataFrame, least: int = 4, max_bytes: int = 200) -> Da
     return m.where("short").groupBy("conv_id", "island").agg(F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.count("*").alias("n")).where(F.col("n") >= least).drop("island")
 
 
-def cluster_messages(messages: DataFrame, least: int = 3, similarity: float = 0.6) -> DataFrame:
-    """Leader clustering in a conversation: (conv_id, turn, cluster).
-
-    In order, an unassigned message gathers the later unassigned ones of its role whose
-    similarity to it (not to each other) reaches the limit: 0.4 for tools and 0.4 for files,
-    both empty here, and 0.2 by length ratio. A group of fewer than `least` is not made.
-    """
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf[pdf.role != "system"].sort_values("turn")
-        left, out = list(rows.itertuples(index=False)), []
-        sizes = {r.turn: len(r.text or "") for r in left}
-        free = [r for r in left]
-        while free:
-            head, free = free[0], free[1:]
-            near = []
-            for r in free:
-                big = max(sizes[head.turn], sizes[r.turn])
-                ratio = min(sizes[head.turn], sizes[r.turn]) / big if big else 1.0
-                if r.role == head.role and 0.8 + 0.2 * ratio >= similarity:
-                    near.append(r)
-            if len(near) + 1 >= least:
-                out += [(r.conv_id, r.turn, head.turn) for r in (head, *near)]
-                taken = {r.turn for r in near}
-                free = [r for r in free if r.turn not in taken]
-        return pd.DataFrame(out, columns=["conv_id", "turn", "cluster"])
-
-    return messages.select("conv_id", "turn", "role", "text").groupBy("conv_id").applyInPandas(run, "conv_id long, turn long, cluster long")
-
-
 def compress_summary(summaries: DataFrame, max_lines: int = 24, max_chars: int = 1200, line_chars: int = 160) -> DataFrame:
     """(id, text) cut to a budget: lines collapsed and deduplicated ignoring case, the most important first, a line that doesn't fit skipped."""
     def importance(line: str) -> int:

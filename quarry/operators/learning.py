@@ -65,3 +65,29 @@ def advantages(edges: DataFrame) -> DataFrame:
 
 def clipped_update(weight: Column, advantage: Column, eta: float = 0.01, epsilon: float = 0.2) -> Column:
     return F.greatest(F.lit(0.01), F.least(F.lit(100.0), weight * F.exp(F.greatest(F.lit(-epsilon), F.least(F.lit(epsilon), eta * advantage)))))
+
+
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """rows with `i`, their place from 0 in the order of `key`: sorted by ranges, counted by range, numbered within each."""
+    cut = rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("part", F.spark_partition_id())
+    before = cut.groupBy("part").count().withColumn("before", F.sum("count").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)))  # a row per range
+    at = cut.withColumn("at", F.row_number().over(W.partitionBy("part").orderBy(key)))
+    return at.join(F.broadcast(before), "part").withColumn("i", F.col("at") - 1 + F.coalesce("before", F.lit(0))).drop("part", "at", "count", "before")
+
+
+def bootstrap_interval(rows: DataFrame, key: str, value: str, resamples: int = 1000, level: float = 0.95, block: int = 4096) -> DataFrame:
+    """Bootstrap interval (low, high) of the mean of `value`; an empty table gives nulls.
+
+    Draw j of resample r is row md5("r,j") (its first 60 bits) modulo n in the order of `key`, with
+    replacement and the same anywhere. Draws are made in blocks, so no row or task holds a resample.
+    """
+    rows = rows.where(F.col(value).isNotNull())
+    n = rows.agg(F.count("*").alias("n"))  # one row
+    blocks = rows.sparkSession.range(resamples).withColumnRenamed("id", "r").crossJoin(F.broadcast(n)).where("n > 0")
+    blocks = blocks.select("r", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(block).cast("long"))).alias("first")).repartition("r", "first")
+    draws = blocks.select("r", "n", F.explode(F.sequence("first", F.least(F.col("first") + block, F.col("n")) - 1)).alias("j"))
+    draws = draws.select("r", (F.conv(F.substring(F.md5(F.concat_ws(",", F.col("r").cast("string"), F.col("j").cast("string"))), 1, 15), 16, 10).cast("long") % F.col("n")).alias("i"))
+    means = draws.groupBy("i", "r").count().join(numbered(rows.select(key, value), key), "i").groupBy("r").agg((F.sum(F.col(value) * F.col("count")) / F.sum("count")).alias("m"))
+    at = means.select("m", (F.row_number().over(W.orderBy("m")) - 1).alias("k"))  # a row per resample
+    low, high = int(resamples * (1 - level) / 2 + 1e-9), int(resamples * (1 + level) / 2 + 1e-9)
+    return at.agg(F.max(F.when(F.col("k") == low, F.col("m"))).alias("low"), F.max(F.when(F.col("k") == high, F.col("m"))).alias("high"))

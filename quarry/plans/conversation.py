@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import byte_token_estimate, collapse_spaces
 from quarry.operators import conversation as C
+from quarry.operators import similarity as S
 from quarry.plans.common import table
 
 _MODELS = ("haiku-x", "Opus-9", "sonnet", "gpt-4o-mini", "deepseek-chat", "deepseek-v9", "grok-2", "kimi", "unknown")
@@ -138,23 +139,36 @@ def cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.groupBy("conv_id").agg(F.count_if(F.col("cache_read") > 26).alias("hits"), F.count_if(F.col("cache_read") <= 26).alias("misses"), F.count_if(F.col("cache_write") > 0).alias("writes"), F.sum("cache_read").alias("read"), F.max_by("cache_read", "turn").alias("last_read"))
 
 
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as a message of its conversation: marks in the text stand for tools, capital letters for files, as no table has tool blocks."""
+    c = table(spark, sf_dir, "conversations")
+    found = {"tools": "[.?!,\n]", "files": "[A-Z]"}
+    return S.message_classes(c.select(F.col("conv_id").alias("scope"), "turn", "role", *[F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(k) for k, p in found.items()], F.octet_length("text").alias("length")))
+
+
 def message_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of turns of a conversation and role whose word sets have a Jaccard share of 0.05 or more."""
-    c = table(spark, sf_dir, "conversations").where("role <> 'system'").select("conv_id", "turn", "role", F.array_distinct(F.split(F.lower("text"), "[^a-z]+")).alias("ws"))
-    a, b = c.alias("a"), c.alias("b")
-    j = a.join(b, (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.role") == F.col("b.role")) & (F.col("a.turn") < F.col("b.turn")))
-    share = F.size(F.array_intersect("a.ws", "b.ws")) / F.size(F.array_union("a.ws", "b.ws"))
-    return j.select(F.col("a.conv_id").alias("conv_id"), F.col("a.turn").alias("turn_a"), F.col("b.turn").alias("turn_b"), F.round(share, 6).alias("jaccard")).where("jaccard >= 0.05")
+    """Every message but the system's, with the first turn of its class and the number of messages of its conversation that are similar to it."""
+    m = _messages(spark, sf_dir)
+    n = S.link_counts(m, S.class_links(m))
+    first = m.groupBy("class").agg(F.min("turn").alias("class_turn"))
+    return n.join(first, "class").select(F.col("scope").alias("conv_id"), "turn", "class_turn", "n_links")
+
+
+def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _messages(spark, sf_dir)
+    return S.leader_clusters(m, S.class_links(m)).join(m.select("id", "tools", "files"), "id").withColumn("cluster", F.col("leader.turn"))
 
 
 def cluster_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.cluster_messages(table(spark, sf_dir, "conversations"))
+    """Every message but the system's, with the first turn of its cluster; null outside clusters."""
+    return _clusters(spark, sf_dir).select(F.col("scope").alias("conv_id"), "turn", "cluster")
 
 
 def cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per cluster: size, roles and its first five turns."""
-    c = C.cluster_messages(table(spark, sf_dir, "conversations")).join(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), ["conv_id", "turn"])
-    return c.groupBy("conv_id", "cluster").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("role")), ",").alias("roles"), F.array_join(F.slice(F.sort_array(F.collect_list("turn")), 1, 5).cast("array<string>"), ",").alias("turns"))
+    """Per cluster: size, tools in order and its first five files."""
+    c = _clusters(spark, sf_dir).where("cluster is not null").select(F.col("scope").alias("conv_id"), "cluster", "tools", "files")
+    sets = c.groupBy("conv_id", "cluster").agg(F.count("*").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("tools")))).alias("t"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("files")))).alias("f"))
+    return sets.select("conv_id", "cluster", "n", F.array_join("t", ", ").alias("tools"), F.array_join(F.slice("f", 1, 5), ", ").alias("files"))
 
 
 def compress_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,6 +184,18 @@ def conversation_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.compaction_split(left)
 
 
+_OVERLAP = "CASE WHEN len({0}.{1}) = 0 AND len(b.{1}) = 0 THEN 1.0 ELSE len(list_intersect(a.{1}, b.{1})) / len(list_distinct(a.{1} || b.{1})) END"
+#: Messages as m, and pair (conv_id, i, j) of the turns of similar ones.
+_SIMILAR = f"""m AS (SELECT conv_id, turn, role, list_sort(list_distinct(regexp_extract_all(text, '[.?!,\\n]'))) AS tools, list_sort(list_distinct(regexp_extract_all(text, '[A-Z]'))) AS files, strlen(text) AS length FROM conversations WHERE role <> 'system'),
+  pair AS (SELECT a.conv_id, a.turn AS i, b.turn AS j FROM m a JOIN m b ON a.conv_id = b.conv_id AND a.role = b.role AND a.turn < b.turn
+    WHERE 0.4 * ({_OVERLAP.format("a", "tools")}) + 0.4 * ({_OVERLAP.format("a", "files")}) + 0.2 * (CASE WHEN a.length = 0 AND b.length = 0 THEN 1.0 ELSE least(a.length, b.length) / greatest(a.length, b.length) END) >= 0.6 - 1e-9)"""
+#: Clusters as assigned (conv_id, turn, cluster), turn by turn; needs _SIMILAR.
+_LEADERS = """near AS (SELECT conv_id, i, list(j) AS js FROM pair GROUP BY conv_id, i),
+  walk AS (
+    SELECT conv_id, list(turn ORDER BY turn) AS turns, 1 AS pos, list_transform(list(turn), lambda x: -1) AS owner FROM m GROUP BY conv_id
+    UNION ALL SELECT conv_id, turns, pos + 1, CASE WHEN owner[pos] = -1 AND len(g) >= 2 THEN list_transform(owner, lambda x, k: CASE WHEN k = pos OR list_contains(g, turns[k]) THEN turns[pos] ELSE x END) ELSE owner END
+    FROM (SELECT w.*, list_filter(coalesce(js, []), lambda t: owner[list_position(turns, t)] = -1) AS g FROM walk w LEFT JOIN near n ON n.conv_id = w.conv_id AND n.i = turns[pos] WHERE pos <= len(turns))),
+  assigned AS (SELECT conv_id, unnest(turns) AS turn, nullif(unnest(owner), -1) AS cluster FROM walk WHERE pos = len(turns) + 1)"""
 _RUNS = """
   WITH m AS (SELECT *, strlen(text) < 200 AS short FROM conversations), n AS (SELECT *, sum(CASE WHEN short AND coalesce(was, false) THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS island
     FROM (SELECT *, lag(short) OVER (PARTITION BY conv_id ORDER BY turn) AS was FROM m))
@@ -200,18 +226,20 @@ QUERIES = {
         SELECT conv_id, turn, coalesce(NOT calls, false) AS dropped FROM (SELECT *, last_value(CASE WHEN role <> 'tool' THEN role = 'assistant' AND length(text) % 2 = 0 END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS calls FROM {_TOOL}) WHERE role = 'tool'"""),
     "flatten_blocks": (flatten_blocks, "SELECT conv_id, turn, md5(role || chr(10) || '{\"turn\":' || turn || '}' || chr(10) || text) AS flat_md5 FROM conversations"),
     "usage_normalize": (usage_normalize, f"SELECT conv_id, turn, greatest(0, input - cache_read * 4) AS input, cache_read FROM {_USAGE}"),
-    "assemble_deltas": (assemble_deltas, "SELECT conv_id, md5(string_agg(substr(text, 1, 5), '' ORDER BY turn)) AS text_md5, count(*) AS n_deltas FROM conversations GROUP BY conv_id"),
+    "assemble_deltas": (assemble_deltas, "SELECT conv_id, md5(string_agg(text, '' ORDER BY turn)) AS text_md5, count(*) AS n_deltas FROM conversations GROUP BY conv_id"),
     "preflight": (preflight, "SELECT conv_id, tokens, coalesce(tokens + 100 <= CASE conv_id % 3 WHEN 0 THEN 300 WHEN 1 THEN 2000 END, true) AS passes FROM (SELECT conv_id, sum(strlen(text) // 4 + 1)::BIGINT AS tokens FROM conversations GROUP BY conv_id)"),
     "cache_breaks": (cache_breaks, f"""
         SELECT conv_id, turn, was - cache_read AS dropped, CASE WHEN input % 4 <> old THEN 'model_changed' WHEN input % 7 = 0 THEN 'ttl_expired' ELSE 'unexpected' END AS reason
         FROM (SELECT *, lag(cache_read) OVER w AS was, lag(input % 4) OVER w AS old FROM {_USAGE} WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE was - cache_read >= 20"""),
     "cache_stats": (cache_stats, f"SELECT conv_id, count(*) FILTER (cache_read > 26) AS hits, count(*) FILTER (cache_read <= 26) AS misses, count(*) FILTER (cache_write > 0) AS writes, sum(cache_read)::BIGINT AS read, arg_max(cache_read, turn) AS last_read FROM {_USAGE} GROUP BY conv_id"),
-    "message_similarity": (message_similarity, """
-        WITH c AS (SELECT conv_id, turn, role, list_distinct(string_split_regex(lower(text), '[^a-z]+')) AS ws FROM conversations WHERE role <> 'system')
-        SELECT * FROM (SELECT a.conv_id, a.turn AS turn_a, b.turn AS turn_b, round(len(list_intersect(a.ws, b.ws)) / len(list_distinct(a.ws || b.ws)), 6) AS jaccard
-          FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.role = b.role AND a.turn < b.turn) WHERE jaccard >= 0.05"""),
-    "cluster_messages": (cluster_messages, None),
-    "cluster_summary": (cluster_summary, None),
+    "message_similarity": (message_similarity, f"""
+        WITH {_SIMILAR}
+        SELECT m.conv_id, m.turn, min(c.turn) AS class_turn, any_value(coalesce(k.n, 0)) AS n_links FROM m JOIN m c ON c.conv_id = m.conv_id AND c.role = m.role AND c.tools = m.tools AND c.files = m.files
+        LEFT JOIN (SELECT conv_id, turn, count(*) AS n FROM (SELECT conv_id, i AS turn FROM pair UNION ALL SELECT conv_id, j FROM pair) GROUP BY ALL) k ON k.conv_id = m.conv_id AND k.turn = m.turn GROUP BY m.conv_id, m.turn"""),
+    "cluster_messages": (cluster_messages, f"WITH RECURSIVE {_SIMILAR}, {_LEADERS} SELECT conv_id, turn, cluster FROM assigned"),
+    "cluster_summary": (cluster_summary, f"""
+        WITH RECURSIVE {_SIMILAR}, {_LEADERS} SELECT conv_id, cluster, count(*) AS n, array_to_string(list_sort(list_distinct(flatten(list(tools)))), ', ') AS tools, array_to_string(list_sort(list_distinct(flatten(list(files))))[1:5], ', ') AS files
+        FROM assigned JOIN m USING (conv_id, turn) WHERE cluster IS NOT NULL GROUP BY conv_id, cluster"""),
     "compress_summary": (compress_summary, None),
     "conversation_compaction": (conversation_compaction, _split_sql(f"(SELECT c.conv_id, c.turn, c.role FROM conversations c LEFT JOIN ({_RUNS}) r ON c.conv_id = r.conv_id AND c.turn BETWEEN first_turn AND last_turn WHERE first_turn IS NULL OR c.turn = first_turn)")),
 }

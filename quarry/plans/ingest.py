@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.functions.text import chunk_chars, text_lines
+from quarry.functions.text import chunk_chars, chunk_lines, import_files, text_lines
 from quarry.functions.vectors import cosine
+from quarry.operators import index as X
 from quarry.operators import ingest as I
 from quarry.operators import retrieval as R
-from quarry.plans.common import scratch, table
+from quarry.operators.common import written
+from quarry.plans.common import expand_sql, scratch, table
 from quarry.sources import files as S
 
 
@@ -91,23 +93,35 @@ def text_edit(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", (at > 0).alias("edited"), F.md5(new).alias("new_md5"))
 
 
-def _folder(spark, sf_dir) -> str:
-    """All documents written out as one file each, in a folder of their source, a line feed at the end."""
-    root = scratch(spark, "workspace")
-    d = table(spark, sf_dir, "documents").select("source", "doc_id", "text").repartition("source", "doc_id").sortWithinPartitions("source", "doc_id")
-    d.write.partitionBy("source", "doc_id").text(root)
-    return root
+#: The folder and the kind of file that a language's documents are kept in; what no map names lies in `misc` without a kind.
+_FOLDERS = {"en": "docs/guide", "de": "src/core", "fr": "vendor/lib", "es": "web/pages/deep"}
+_KINDS = {"en": "md", "de": "rs", "fr": "py", "es": "TSX"}
+
+
+def _files(spark, sf_dir):
+    """Every document as a file of its source; its language decides folder and kind."""
+    lang = F.col("lang")
+    folder, kind = (F.coalesce(F.create_map(*[F.lit(x) for kv in m.items() for x in kv])[lang], F.lit(d)) for m, d in ((_FOLDERS, "misc"), (_KINDS, "dat")))
+    path = F.concat_ws("/", "source", folder, F.concat_ws(".", "doc_id", kind))
+    return table(spark, sf_dir, "documents").select(path.alias("path"), F.octet_length("text").cast("long").alias("size_bytes"), "text")
+
+
+_FILES = f"(SELECT concat_ws('/', source, coalesce({_FOLDERS}[lang], 'misc'), concat_ws('.', doc_id, coalesce({_KINDS}[lang], 'dat'))) AS path, strlen(text) AS size_bytes, text FROM documents)".replace("{'", "MAP {'")
 
 
 def scan_text_files(spark, sf_dir):
-    f = S.scan_files(spark, _folder(spark, sf_dir))
-    return f.select(F.regexp_extract("path", "source=([^/]*)", 1).alias("source"), "size_bytes", F.md5("text").alias("text_md5"))
+    """Files that count as text, of 2 MiB at most, outside the folders that no walk enters."""
+    return S.listed_files(_files(spark, sf_dir)).select("path", "size_bytes", F.md5("text").alias("text_md5"))
 
 
 def scan_code_files(spark, sf_dir):
-    """As scan_text_files with the limits for code: 256 KiB and ten levels."""
-    f = S.scan_files(spark, _folder(spark, sf_dir), ("txt",), 256 << 10, 10, S.CODE_SKIPPED)
-    return f.select(F.regexp_extract("path", "source=([^/]*)", 1).alias("source"), F.md5("text").alias("text_md5"))
+    """As scan_text_files for code, with its limits: 256 KiB and ten levels."""
+    f = S.listed_files(_files(spark, sf_dir), S.CODE_EXTENSIONS, 256 << 10, 10, S.CODE_SKIPPED)
+    return f.select("path", F.md5("text").alias("text_md5"))
+
+
+def _listed_sql(what, extensions, limit, skipped):
+    return f"""SELECT {what}, md5(text) AS text_md5 FROM {_FILES} WHERE size_bytes <= {limit} AND lower(regexp_extract(path, '\\.([^./]+)$', 1)) IN {extensions} AND NOT list_has_any(string_split(path, '/')[:-2], {list(skipped)}) AND len(string_split(path, '/')) <= 10"""
 
 
 def load_jsonl(spark, sf_dir):
@@ -156,10 +170,25 @@ def _keyword_sql(word):
     return f"(SELECT doc_id AS chunk, doc_id AS pos FROM documents WHERE contains(text, '{word}') ORDER BY doc_id LIMIT 20)"
 
 
+def _indexed(spark, sf_dir):
+    """The files, an index of them, their chunks of lines, and the benchmark's items as a batch of tasks."""
+    files = _files(spark, sf_dir).select("path", "text")
+    lines = files.select("path", F.explode(chunk_lines(F.col("text"))).alias("c"))
+    chunks = lines.select(F.concat_ws(":", "path", F.col("c.line_start").cast("string")).alias("chunk"), "path", "c.text")
+    return files, written(X.build_index(files), "index"), written(chunks, "chunks"), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
+
+
 def candidates_keyword(spark, sf_dir):
-    """Chunks of the files with a keyword."""
-    hits = _chunks(spark, sf_dir).where(F.contains("text", F.lit(_QUERY[0]))).select("path").orderBy("path").limit(5)
-    return _chunks(spark, sf_dir).join(F.broadcast(hits), "path").select("path", "chunk")
+    """Chunks of the first five files of each benchmark item's expanded keywords."""
+    files, index, chunks, tasks = _indexed(spark, sf_dir)
+    found = X.keyword_candidates(index, chunks, X.expand_keywords(X.extract_keywords(tasks)), files=files)
+    return found.select("query", "chunk", F.col("pos.keyword").alias("keyword"), F.col("pos.place").alias("place"))
+
+
+def candidates_two_round(spark, sf_dir):
+    """Candidates of every benchmark item in two rounds: its keywords' files, then what the first ten chunks and all imports name."""
+    files, index, chunks, tasks = _indexed(spark, sf_dir)
+    return X.two_rounds(index, chunks, tasks, files, imports=import_files)
 
 
 def candidates_error(spark, sf_dir):
@@ -179,12 +208,6 @@ def candidates_union(spark, sf_dir):
     return R.union_first([_nearest(spark, sf_dir), _keyword(spark, sf_dir, _QUERY[0]), _keyword(spark, sf_dir, _QUERY[1])])
 
 
-def candidates_two_round(spark, sf_dir):
-    """A first round's candidates, then those of a second."""
-    one = R.union_first([_nearest(spark, sf_dir), _keyword(spark, sf_dir, _QUERY[0])]).select("chunk", (F.col("source_rank") * 100000 + F.col("pos")).alias("pos"))
-    return R.union_first([one, _keyword(spark, sf_dir, _QUERY[1])]).select("chunk", "source_rank")
-
-
 def coverage_fallback(spark, sf_dir):
     """If the nearest cover under 0.3 of the keyword's files, those that are missing are added."""
     near, words = _nearest(spark, sf_dir).select("chunk"), _keyword(spark, sf_dir, _QUERY[0]).select("chunk")
@@ -231,6 +254,45 @@ def jaccard(spark, sf_dir):
     return d.join(n, "doc_id").select("doc_id", F.round(F.size(F.array_intersect("ws", "vs")) / F.size(F.array_union("ws", "vs")), 6).alias("jaccard"))
 
 
+def _extract_sql(source: str, limit: int) -> str:
+    """Keywords (query, pos, keyword) of texts (query, text)."""
+    return f"""(
+  SELECT query, row_number() OVER (PARTITION BY query ORDER BY -length(k), i) AS pos, k AS keyword FROM (
+    SELECT *, lag(k) OVER (PARTITION BY query ORDER BY -length(k), i) AS before FROM (SELECT query, unnest(ks) AS k, unnest(range(len(ks))) AS i FROM (SELECT query, regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]+') AS ks FROM {source}))
+    WHERE length(k) >= 3 AND regexp_matches(k, '[A-Z_]')) WHERE k IS DISTINCT FROM before QUALIFY pos <= {limit})"""
+
+
+def _hits_sql(keywords: str) -> str:
+    """Chunks (query, chunk, keyword, place) of the first five files of each keyword."""
+    return f"""(
+  SELECT query, chunk, h.keyword, h.place FROM (
+    SELECT query, path, min({{'keyword': pos, 'place': place}}) AS h FROM {keywords} k JOIN (
+      SELECT keyword, path, row_number() OVER (PARTITION BY keyword ORDER BY path) AS place FROM (SELECT DISTINCT keyword FROM {keywords}) w JOIN files f ON contains(f.text, w.keyword) QUALIFY place <= 5) g ON g.keyword = k.keyword
+    GROUP BY query, path) p JOIN chunks c ON c.path = p.path)"""
+
+
+def _two_rounds_ctes() -> str:
+    """files, chunks, the first round as `one`, and `both_rounds` (query, chunk, round, source, keyword, place)."""
+    return f"""files AS (SELECT path, text FROM {_FILES}),
+lines AS (SELECT path, CASE WHEN text = '' THEN [] ELSE string_split(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\\n$', ''), chr(10)) END AS ls FROM files),
+starts AS (SELECT path, ls, unnest(range(0, greatest(ceil((len(ls) - 50) / 40.0), 0)::BIGINT * 40 + 1, 40)) AS s FROM lines WHERE len(ls) > 0),
+chunks AS (SELECT path || ':' || (s + 1) AS chunk, path, array_to_string(ls[s + 1:s + 50], chr(10)) AS text FROM starts),
+task AS (SELECT item_id AS query, text FROM benchmark),
+k1 AS {_extract_sql("task", 8)}, e1 AS {expand_sql("k1")},
+one AS {_hits_sql("e1")},
+first AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY keyword, place, chunk) AS nth FROM one),
+fed AS (SELECT query, string_agg(c.text, chr(10) ORDER BY nth) AS text FROM first JOIN chunks c ON c.chunk = first.chunk WHERE nth <= 10 GROUP BY query),
+k2 AS {_extract_sql("fed", 5)}, e2 AS {expand_sql("k2")},
+named AS (SELECT DISTINCT query, top FROM (
+  SELECT query, string_split(rtrim(CASE WHEN starts_with(l, 'from ') THEN regexp_extract(l, '^from ([^ ]*)', 1) WHEN starts_with(l, 'import ') THEN regexp_extract(l, '^import ([^ ,]*)', 1) END, ','), '.')[1] AS top
+  FROM (SELECT query, trim(replace(unnest(string_split(c.text, chr(10))), chr(9), ' ')) AS l FROM one JOIN chunks c ON c.chunk = one.chunk)) WHERE top NOT IN ('', 'import')),
+target AS (SELECT query, unnest([top || '.py', top || '/__init__.py']) AS target FROM named),
+two AS (SELECT query, chunk, min({{'source': source, 'keyword': keyword, 'place': place}}) AS best FROM (
+  SELECT query, chunk, 3 AS source, keyword, place FROM {_hits_sql("e2")}
+  UNION ALL SELECT DISTINCT query, chunk, 2, 0, 0 FROM target JOIN chunks ON ends_with(path, target)) WHERE (query, chunk) NOT IN (SELECT (query, chunk) FROM one) GROUP BY query, chunk),
+both_rounds AS (SELECT query, chunk, 1 AS round, 1 AS source, keyword, place FROM one UNION ALL SELECT query, chunk, 2, best.source, best.keyword, best.place FROM two)"""
+
+
 _UNION = f"(SELECT chunk, arg_min(source_rank, source_rank * 10000000 + pos) AS source_rank, arg_min(pos, source_rank * 10000000 + pos) AS pos FROM (SELECT *, 0 AS source_rank FROM {_NEAREST} UNION ALL SELECT *, 1 FROM {_keyword_sql(_QUERY[0])} UNION ALL SELECT *, 2 FROM {_keyword_sql(_QUERY[1])}) GROUP BY chunk)"
 _COST = "length(header) // 4 + 1 + length(text) // 4 + 1"
 
@@ -250,16 +312,16 @@ QUERIES = {
     "retain_latest_3": (retain_latest_3, "SELECT source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS r FROM documents) WHERE r <= 3"),
     "latest_session": (latest_session, "SELECT user_id, max(event_id) AS updated FROM events GROUP BY user_id ORDER BY updated DESC, user_id DESC LIMIT 1"),
     "text_edit": (text_edit, "SELECT doc_id, a > 0 AS edited, md5(CASE WHEN a > 0 THEN substr(text, 1, a - 1) || 'THE' || substr(text, a + 3) ELSE text END) AS new_md5 FROM (SELECT doc_id, text, strpos(text, 'the') AS a FROM documents)"),
-    "scan_text_files": (scan_text_files, "SELECT source, strlen(t) AS size_bytes, md5(t) AS text_md5 FROM (SELECT source, string_agg(text || chr(10), '' ORDER BY doc_id) AS t FROM documents GROUP BY source) WHERE strlen(t) <= 2097152"),
-    "scan_code_files": (scan_code_files, "SELECT source, md5(t) AS text_md5 FROM (SELECT source, string_agg(text || chr(10), '' ORDER BY doc_id) AS t FROM documents GROUP BY source) WHERE strlen(t) <= 262144"),
+    "scan_text_files": (scan_text_files, _listed_sql("path, size_bytes", S.TEXT_EXTENSIONS, 2 << 20, S.SKIPPED)),
+    "scan_code_files": (scan_code_files, _listed_sql("path", S.CODE_EXTENSIONS, 256 << 10, S.CODE_SKIPPED)),
     "load_jsonl": (load_jsonl, "SELECT conv_id, turn, md5(text) AS text_md5 FROM conversations"),
     "load_sessions": (load_sessions, None),
     "sse_parse": (sse_parse, "SELECT conv_id AS id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS ordinal, role AS event, turn::VARCHAR AS data FROM conversations"),
-    "candidates_keyword": (candidates_keyword, f"SELECT source || '/' || doc_id AS path, doc_id AS chunk FROM documents WHERE contains(text, '{_QUERY[0]}') ORDER BY path LIMIT 5"),
+    "candidates_keyword": (candidates_keyword, f"WITH {_two_rounds_ctes()} SELECT query, chunk, keyword, place FROM one"),
     "candidates_error": (candidates_error, "SELECT doc_id AS chunk, source || '/' || doc_id AS path FROM documents WHERE doc_id IN (21, 40, 77)"),
     "candidates_import": (candidates_import, "SELECT doc_id AS chunk, target FROM documents JOIN (VALUES ('/10'), ('3/3'), ('/999')) t(target) ON ends_with(source || '/' || doc_id, target)"),
     "candidates_union": (candidates_union, f"SELECT chunk, source_rank::BIGINT AS source_rank, pos FROM {_UNION}"),
-    "candidates_two_round": (candidates_two_round, f"SELECT chunk, CASE WHEN source_rank < 2 THEN 0 ELSE 1 END::BIGINT AS source_rank FROM {_UNION}"),
+    "candidates_two_round": (candidates_two_round, f"WITH {_two_rounds_ctes()} SELECT query, chunk, round, row_number() OVER (PARTITION BY query ORDER BY round, source, keyword, place, chunk) AS place FROM both_rounds"),
     "coverage_fallback": (coverage_fallback, f"""
         WITH n AS {_NEAREST}, k AS {_keyword_sql(_QUERY[0])} SELECT chunk FROM n UNION ALL SELECT chunk FROM k WHERE chunk NOT IN (SELECT chunk FROM n) AND (SELECT count(*) FILTER (chunk IN (SELECT chunk FROM n)) / count(*) FROM k) < 0.3"""),
     "pack_budget": (pack_budget, f"""
@@ -269,7 +331,7 @@ QUERIES = {
         WITH u AS (SELECT chunk, row_number() OVER (ORDER BY source_rank, pos, chunk) AS rank FROM {_UNION}), c AS (SELECT chunk, rank, text, source || '/' || doc_id AS header FROM documents JOIN u ON doc_id = chunk WHERE rank <= 30)
         SELECT chunk, rank, tokens::BIGINT AS tokens FROM (SELECT chunk, rank, sum({_COST}) OVER (ORDER BY rank) AS tokens FROM c) WHERE tokens <= 4000"""),
     "baseline_agent": (baseline_agent, None),
-    "coverage_gap": (coverage_gap, "SELECT doc_id, 'missing' AS what FROM documents WHERE doc_id % 10 = 0 AND doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'repeated' FROM labels GROUP BY doc_id HAVING count(*) > 1"),
+    "coverage_gap": (coverage_gap, "SELECT doc_id, 'missing' AS what FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'repeated' FROM labels GROUP BY doc_id HAVING count(*) > 1"),
     "jaccard": (jaccard, """
         WITH d AS (SELECT doc_id, list_distinct(string_split_regex(lower(text), '[^a-z]+')) AS ws FROM documents)
         SELECT d.doc_id, round(len(list_intersect(d.ws, n.ws)) / len(list_distinct(d.ws || n.ws)), 6) AS jaccard FROM d JOIN d n ON n.doc_id = d.doc_id + 1"""),

@@ -157,15 +157,7 @@ def paired_deltas(spark, sf_dir):
 
 def bootstrap_ci(spark, sf_dir, resamples: int = 1000):
     """Paired bootstrap of the mean delta at 95 per cent: draw j of resample r is pair md5("r,j") (its first 60 bits) modulo n, with replacement and the same anywhere."""
-    t = _two(spark, sf_dir)
-    rows = t.withColumn("i", F.row_number().over(W.orderBy("user_id")) - 1).select("i", "delta")  # a row per user: a summary
-    n = t.agg(F.count("*").alias("n"))
-    r = spark.range(resamples).withColumnRenamed("id", "r").crossJoin(F.broadcast(n)).select("r", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
-    r = r.select("r", (F.conv(F.substring(F.md5(F.concat_ws(",", F.col("r").cast("string"), F.col("j").cast("string"))), 1, 15), 16, 10).cast("long") % F.col("n")).alias("i"))
-    means = r.join(rows, "i").groupBy("r").agg(F.avg("delta").alias("m"))
-    at = means.select("m", (F.row_number().over(W.orderBy("m")) - 1).alias("k"))
-    low, high = int(resamples * 0.025), int(resamples * 0.975)
-    return at.agg(F.round(F.max(F.when(F.col("k") == low, F.col("m"))), 6).alias("low"), F.round(F.max(F.when(F.col("k") == high, F.col("m"))), 6).alias("high"))
+    return L.bootstrap_interval(_two(spark, sf_dir).select("user_id", "delta"), "user_id", "delta", resamples).select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 def eval_run(spark, sf_dir):
@@ -301,10 +293,10 @@ QUERIES = {
     "step_reduction": (step_reduction, "SELECT event_id, round(CASE WHEN event_id % 30 > 0 AND user_id % 12 > 0 THEN greatest(0, (event_id % 30 - user_id % 12) / (event_id % 30)) END, 6) AS reduction FROM events"),
     "paired_deltas": (paired_deltas, f"SELECT user_id, round(delta, 6) AS delta FROM {_TWO}"),
     "bootstrap_ci": (bootstrap_ci, f"""
-        WITH t AS (SELECT row_number() OVER (ORDER BY user_id) - 1 AS i, delta, count(*) OVER () AS n FROM {_TWO}), d AS (SELECT r, (r * 7919 + j * 104729 + r * j) % n AS i FROM (SELECT unnest(range(200)) AS r), (SELECT i AS j, n FROM t)),
-        m AS (SELECT avg(delta) AS m FROM d JOIN t ON d.i = t.i GROUP BY r), k AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS k FROM m) SELECT round(max(m) FILTER (k = 5), 6) AS low, round(max(m) FILTER (k = 195), 6) AS high FROM k"""),
+        WITH t AS (SELECT row_number() OVER (ORDER BY user_id) - 1 AS i, delta, count(*) OVER () AS n FROM {_TWO}), d AS (SELECT r, ('0x' || substr(md5(r || ',' || j), 1, 15))::BIGINT % n AS i FROM (SELECT unnest(range(1000)) AS r), (SELECT i AS j, n FROM t)),
+        m AS (SELECT avg(delta) AS m FROM d JOIN t ON d.i = t.i GROUP BY r), k AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS k FROM m) SELECT round(max(m) FILTER (k = 25), 6) AS low, round(max(m) FILTER (k = 975), 6) AS high FROM k"""),
     "eval_run": (eval_run, f"SELECT round(avg(r), 6) AS mean, round(median(r), 6) AS median, round(stddev_pop(r), 6) AS std, count(*) AS n FROM (SELECT round(CASE WHEN len(golden) > 0 THEN len(list_intersect(retrieved[1:5], golden)) / len(golden) ELSE 0 END, 6) AS r FROM {_RUNS} WHERE source <> 'src0')"),
-    "disjoint_split": (disjoint_split, "SELECT doc_id, source FROM documents WHERE doc_id % 2 = 1 AND source NOT IN (SELECT source FROM documents WHERE doc_id % 40 = 0)"),
+    "disjoint_split": (disjoint_split, f"SELECT doc_id, source FROM documents WHERE source NOT IN {EVALUATION}"),
     "ppr": (ppr, _PPR),
     "ppr_seeds": (ppr_seeds, f"SELECT node, round(score, 6) AS score FROM ({_SEEDS})"),
     "candidates_ppr": (candidates_ppr, _CANDIDATES),

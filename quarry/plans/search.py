@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quarry.functions.text import text_lines
 from quarry.functions.vectors import cosine as _cosine
 from quarry.functions.vectors import l2_normalize as _normalize
+from quarry.operators import index as X
+from quarry.operators.common import written
 from quarry.plans.common import table
 from quarry.plans.text import _KEPT_SQL
 from quarry.plans.text import extract_keywords as _extract
@@ -47,9 +49,8 @@ def grep_literal(spark, sf_dir):
 def keyword_hits(spark, sf_dir):
     """The first five documents that hold each of the ten commonest keywords."""
     k = _extract(spark, sf_dir).groupBy("keyword").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "keyword").limit(10)
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    j = d.join(F.broadcast(k.select("keyword")), F.contains("text", "keyword")).select("keyword", "doc_id")
-    return j.withColumn("r", F.row_number().over(W.partitionBy("keyword").orderBy("doc_id"))).where("r <= 5").select("keyword", "doc_id")
+    index = X.build_index(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text"))
+    return X.grep_index(written(index, "index"), k.select(F.lit(0).alias("query"), "keyword")).select("keyword", F.col("path").alias("doc_id"))
 
 
 _TERMS = ("ring", "small", "economy")

@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.plans.common import table
+from quarry.operators import index as X
+from quarry.plans.common import expand_sql, table
 
 _TRIMMED = "trim(translate({}, chr(10) || chr(9) || chr(13), '   '))"
 
@@ -36,18 +37,10 @@ def extract_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.posexplode(kept).alias("rank", "keyword"))
 
 
-EXPANSIONS = {"the": ("article", "determiner"), "tion": ("suffix", "noun"), "ment": ("suffix", "nominal")}
-
-
 def expand_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keywords and, per dictionary word that one contains (in alphabetical order), its terms; 20 at most, first of equal ones."""
-    k = extract_keywords(spark, sf_dir)
-    terms = spark.createDataFrame([(w, t, i) for i, (w, ts) in enumerate(sorted(EXPANSIONS.items())) for t in ts], "word string, term string, ordinal int")
-    terms = terms.withColumn("pos", F.row_number().over(W.partitionBy("word").orderBy("term")))
-    more = k.join(F.broadcast(terms), F.contains(F.lower("keyword"), F.col("word"))).select("doc_id", F.lower("term").alias("term"), (F.lit(1000) + F.col("rank") * 100 + F.col("ordinal") * 10 + F.col("pos")).alias("p"))
-    both = k.select("doc_id", F.lower("keyword").alias("term"), F.col("rank").alias("p")).unionByName(more)
-    both = both.groupBy("doc_id", "term").agg(F.min("p").alias("p"))
-    return both.withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy("p"))).where("rank <= 20").select("doc_id", "rank", "term")
+    """Each document's keywords with the terms of frameworks that they name and their synonyms."""
+    k = extract_keywords(spark, sf_dir).select(F.col("doc_id").alias("query"), F.col("rank").alias("pos"), "keyword")
+    return X.expand_keywords(k).select(F.col("query").alias("doc_id"), F.col("pos").alias("rank"), F.col("keyword").alias("term"))
 
 
 _KEYWORDS_SQL = """
@@ -276,10 +269,7 @@ QUERIES = {
         WITH l AS (SELECT doc_id, string_split(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\\n$', ''), chr(10)) AS ls FROM documents WHERE text <> '')
         SELECT doc_id, i AS line_number, ls[i] AS line FROM (SELECT *, unnest(range(3, least(6, len(ls)) + 1)) AS i FROM l)"""),
     "extract_keywords": (extract_keywords, f"SELECT * FROM ({_KEPT_SQL}) WHERE rank < 8"),
-    "expand_query": (expand_query, f"""
-        WITH k AS (SELECT * FROM ({_KEPT_SQL}) WHERE rank < 8), t(word, term, ordinal, pos) AS (VALUES {', '.join(f"('{w}', '{t}', {i}, {p + 1})" for i, (w, ts) in enumerate(sorted(EXPANSIONS.items())) for p, t in enumerate(sorted(ts)))}),
-        b AS (SELECT doc_id, lower(keyword) AS term, rank AS p FROM k UNION ALL SELECT doc_id, lower(term), 1000 + rank * 100 + ordinal * 10 + pos FROM k JOIN t ON contains(lower(keyword), word))
-        SELECT doc_id, rank, term FROM (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY min(p)) AS rank FROM b GROUP BY doc_id, term) WHERE rank <= 20"""),
+    "expand_query": (expand_query, f"WITH k AS (SELECT doc_id AS query, rank AS pos, keyword FROM ({_KEPT_SQL}) WHERE rank < 8) SELECT query AS doc_id, pos AS rank, keyword AS term FROM {expand_sql('k')}"),
     "error_signals": (error_signals, f"""
         WITH m AS (SELECT event_id, 0 AS kind, unnest(regexp_extract_all(text, 'File\\s+"[^"]+",\\s*line\\s+\\d+')) AS message FROM {_phrase_sql(_TRACES)}
           UNION ALL SELECT event_id, 1, unnest(regexp_extract_all(text, '\\w+(?:Error|Exception|Warning)(?::|\\.|\\s)')) FROM {_phrase_sql(_TRACES)})

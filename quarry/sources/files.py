@@ -8,24 +8,36 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Folders that no walk enters, and what counts as text and as code; each walk has its own.
-SKIPPED = (".git", "target", "node_modules", "__pycache__", ".claw-rag")
+SKIPPED = (".git", "target", "node_modules", "__pycache__")
 CODE_SKIPPED = (".git", "node_modules", "vendor", "third_party", "build", "dist", "target", "__pycache__", ".pytest_cache", ".mypy_cache", ".tox", "site-packages", "venv", ".venv", "env", ".env")
 TEXT_EXTENSIONS = ("rs", "md", "toml", "txt", "json", "yaml", "yml", "js", "ts", "tsx", "jsx", "py", "go", "c", "h", "cpp", "hpp", "cs", "java", "kt", "swift", "rb", "php", "sh", "ps1", "html", "css", "sql")
 CODE_EXTENSIONS = ("py", "pyx", "rs", "ts", "tsx", "js", "jsx", "mjs", "go", "java", "kt", "scala", "rb", "c", "cc", "cpp", "cxx", "h", "hpp", "cs", "swift", "m", "mm")
 
 
+def listed_files(files: DataFrame, extensions: tuple[str, ...] = TEXT_EXTENSIONS, max_bytes: int = 2 << 20, max_depth: int | None = None, skipped: tuple[str, ...] = SKIPPED) -> DataFrame:
+    """The rows of a table of files (path, size_bytes, ...) that a walk would list: by extension, size and depth, outside skipped folders.
+
+    Paths are relative with slashes; letters' case doesn't matter in an extension. A null path or size is left out.
+    """
+    parts = F.split("path", "/")
+    folders = F.slice(parts, 1, F.size(parts) - 1)
+    keep = (F.col("size_bytes") <= max_bytes) & F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*extensions) & ~F.arrays_overlap(folders, F.array(*map(F.lit, skipped)))
+    if max_depth is not None:
+        keep = keep & (F.size(parts) <= max_depth)
+    return files.where(keep)
+
+
 def scan_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = TEXT_EXTENSIONS, max_bytes: int = 2 << 20, max_depth: int | None = None, skipped: tuple[str, ...] = SKIPPED) -> DataFrame:
     """(path, size_bytes, modified, text) of a folder's files by extension, size and depth; skipped folders are left out.
 
-    The size limit is pushed to the file listing, so a larger file is never read.
+    The size limit is pushed to the file listing, so a larger file is never read. A tool's own
+    folder, such as that of its index, is the caller's to add to `skipped`.
     """
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= max_bytes)
     rel = F.split(F.regexp_replace("path", "^[a-z]+:/*", "/"), "/")
     parts = F.slice(rel, len([p for p in root.removeprefix("file://").split("/") if p]) + 2, 1 << 20)
-    keep = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*extensions) & ~F.arrays_overlap(parts, F.array(*map(F.lit, skipped)))
-    if max_depth is not None:
-        keep = keep & (F.size(parts) <= max_depth)
-    return f.where(keep).select(F.array_join(parts, "/").alias("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), F.decode("content", "UTF-8").alias("text"))
+    f = f.select(F.array_join(parts, "/").alias("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), "content")
+    return listed_files(f, extensions, max_bytes, max_depth, skipped).withColumn("content", F.decode("content", "UTF-8")).withColumnRenamed("content", "text")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:

@@ -68,7 +68,6 @@ def test_conversation(spark):
     m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     assert [tuple(r) for r in C.chatty_runs(m).collect()] == [(1, 0, 4, 5)]
     assert [tuple(r) for r in C.compaction_split(m.withColumn("role", F.when(F.col("turn") == 3, "tool").otherwise("user"))).collect()] == [(1, 7, 2)]
-    assert C.cluster_messages(m).count() > 0
     s = spark.createDataFrame([(1, "A:\na:\n" + "w " * 700), (2, None)], "id long, text string")
     got = {r.id: r for r in C.compress_summary(s).collect()}
     assert got[1].text.startswith("A:") and got[1].text.endswith("…") and got[2].text == ""
@@ -173,3 +172,35 @@ def test_command_intent(spark):
             "A=1 B='c d' cat x": "read_only", "A=1": "unknown", "git stash": "read_only", "git -p push": "write", "git": "write", "sed -i x": "write", "su": "system_admin", "": "unknown"}
     d = spark.createDataFrame([(c,) for c in want], "c string")
     assert {r.c: r.i for r in d.select("c", command_intent(d.c).alias("i")).collect()} == want
+
+
+def test_scan_lists(spark, tmp_path):
+    """Only a file that is too large itself is left out, whatever its extension in the lists; folders by name, files not."""
+    for x in ("tsx", "hpp", "kt", "ps1", "pyx", "mm"):
+        (tmp_path / f"a.{x}").write_text("x")
+    for x in ("build", "vendor", ".index"):
+        (tmp_path / x).mkdir()
+        (tmp_path / x / "b.hpp").write_text("x")
+    (tmp_path / "build.rs").write_text("x")
+    (tmp_path / "large.rs").write_text("x" * 300_000)
+    paths = lambda *a, **k: {r.path for r in S.scan_files(spark, str(tmp_path), *a, **k).collect()}
+    assert paths() == {"a.tsx", "a.hpp", "a.kt", "a.ps1", "build/b.hpp", "vendor/b.hpp", "build.rs", "large.rs"}
+    assert paths(S.CODE_EXTENSIONS, 256 << 10, 10, S.CODE_SKIPPED) == {"a.tsx", "a.hpp", "a.kt", "a.pyx", "a.mm", "build.rs"}
+    assert paths(skipped=(*S.SKIPPED, "vendor"), max_depth=1) == {"a.tsx", "a.hpp", "a.kt", "a.ps1", "build.rs", "large.rs"}
+
+
+def test_bootstrap(spark):
+    """Against the same draws made one by one."""
+    import hashlib
+
+    values = [(i, float(i * i % 17)) for i in range(0, 130, 3)] + [(500, None)]
+    df = spark.createDataFrame(values, "k long, v double")
+    x, means = [v for _, v in values if v is not None], []
+    for r in range(40):
+        draws = [x[int(hashlib.md5(f"{r},{j}".encode()).hexdigest()[:15], 16) % len(x)] for j in range(len(x))]
+        means.append(sum(draws) / len(draws))
+    means.sort()
+    got = L.bootstrap_interval(df, "k", "v", resamples=40, level=0.9, block=7).first()
+    assert abs(got.low - means[2]) < 1e-9 and abs(got.high - means[38]) < 1e-9
+    assert L.bootstrap_interval(df.where("false"), "k", "v").first().low is None
+    assert [r.i for r in L.numbered(df, "k").orderBy("k").collect()] == list(range(len(values)))
