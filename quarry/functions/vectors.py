@@ -25,3 +25,9 @@ def cosine(a: Column, b: Column) -> Column:
 def l2_normalize(a: Column, floor: float = 1e-12) -> Column:
     """The vector divided by its norm, which counts as `floor` at least."""
     return F.transform(a, lambda x: x.cast("double") / F.greatest(norm(a), F.lit(floor)))
+
+
+def letter_shares(text: Column) -> Column:
+    """An embedder without a model: the shares of a to z among a text's characters; an empty text has zeros."""
+    n = F.greatest(F.length(text), F.lit(1))
+    return F.transform(F.array(*map(F.lit, "abcdefghijklmnopqrstuvwxyz")), lambda c: (F.length(text) - F.length(F.replace(text, c, F.lit("")))) / n)

@@ -6,9 +6,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions.text import chunk_chars, chunk_lines, import_files, text_lines
-from quarry.functions.vectors import cosine
+from quarry.functions.vectors import cosine, letter_shares
 from quarry.operators import index as X
 from quarry.operators import ingest as I
+from quarry.operators import ledger
 from quarry.operators import retrieval as R
 from quarry.operators.common import written
 from quarry.plans.common import expand_sql, scratch, table
@@ -50,22 +51,31 @@ def cascade_delete(spark, sf_dir):
     return I.cascade_delete(l, I.stale_files(_scan(spark, sf_dir), l)).select("path", "size_bytes")
 
 
-def index_stats(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return d.select(F.size(chunk_chars(F.col("text"))).alias("n")).agg(F.sum("n").alias("chunks"), F.count("*").alias("files"))
-
-
 def indexed_scan(spark, sf_dir):
     """Chunks with their vectors, of the one right length."""
     d, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
     return d.join(e, d["doc_id"] == e["vec_id"]).where(F.size("embedding") == 64).select("doc_id", "label", F.length("text").alias("n_chars"))
 
 
+def _two_days(spark, sf_dir):
+    """The folder of an index after two days: on the first some documents were yet to come, some had another text, and some have gone since."""
+    today = _scan(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    old = today.where("doc_id % 7 <> 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("old "), "text")).otherwise(F.col("text"))).withColumn("content_hash", F.md5("text"))
+    first = old.unionByName(old.where("doc_id % 50 = 1").withColumn("path", F.concat("path", F.lit(".gone"))))
+    root = scratch(spark, "ledger")
+    for day in (first, today, today):  # the last run finds nothing to do
+        ledger.ingest(day.drop("doc_id"), root, embed=letter_shares)
+    return root
+
+
 def rag_ingest(spark, sf_dir):
-    """Chunks to write for changed files: path, ordinal and hash."""
-    c = I.changed_files(_scan(spark, sf_dir), _ledger(spark, sf_dir).withColumn("doc_id", F.lit(0))).select("path", "doc_id")
-    d = table(spark, sf_dir, "documents").join(c, "doc_id")
-    return d.select("path", F.posexplode(chunk_chars(F.col("text"))).alias("ordinal", "chunk")).select("path", "ordinal", F.md5("chunk").alias("chunk_md5"))
+    """All chunks that the index holds after two days, and the run that wrote them."""
+    return ledger.chunks(spark, _two_days(spark, sf_dir)).select("path", "ordinal", F.md5("text").alias("chunk_md5"), F.round(F.element_at("embedding", 1), 6).alias("first_share"), "run")
+
+
+def index_stats(spark, sf_dir):
+    """What the index holds after two days; a run without changes is none."""
+    return ledger.stats(spark, _two_days(spark, sf_dir))
 
 
 def rag_query(spark, sf_dir):
@@ -254,6 +264,12 @@ def jaccard(spark, sf_dir):
     return d.join(n, "doc_id").select("doc_id", F.round(F.size(F.array_intersect("ws", "vs")) / F.size(F.array_union("ws", "vs")), 6).alias("jaccard"))
 
 
+#: The chunks that the index holds after two days: path, start, text and run.
+_HELD = """(SELECT path, s, substr(text, s + 1, 900) AS c, run FROM (
+  SELECT source || '/' || doc_id AS path, text, CASE WHEN doc_id % 7 = 0 OR doc_id % 5 = 0 THEN 2 ELSE 1 END AS run, unnest(range(0, greatest(ceil((length(text) - 900) / 780.0), 0)::BIGINT * 780 + 1, 780)) AS s FROM documents WHERE length(text) > 0)
+  WHERE trim(translate(c, chr(10) || chr(9) || chr(13), '   ')) <> '')"""
+
+
 def _extract_sql(source: str, limit: int) -> str:
     """Keywords (query, pos, keyword) of texts (query, text)."""
     return f"""(
@@ -301,12 +317,9 @@ QUERIES = {
     "stale_files": (stale_files, f"SELECT path FROM {_LEDGER} WHERE path NOT IN (SELECT path FROM {_SCAN})"),
     "upsert_latest": (upsert_latest, f"SELECT path, content_hash, 2::BIGINT AS indexed_at FROM {_SCAN} UNION ALL SELECT path, content_hash, 1 FROM {_LEDGER} WHERE path NOT IN (SELECT path FROM {_SCAN})"),
     "cascade_delete": (cascade_delete, f"SELECT path, size_bytes FROM {_LEDGER} WHERE path IN (SELECT path FROM {_SCAN})"),
-    "index_stats": (index_stats, """
-        SELECT count(*) FILTER (trim(translate(c, chr(10) || chr(9) || chr(13), '   ')) <> '') AS chunks, (SELECT count(*) FROM documents) AS files FROM (SELECT substr(text, s + 1, 900) AS c FROM (SELECT text, unnest(range(0, greatest(ceil((length(text) - 900) / 780.0), 0)::BIGINT * 780 + 1, 780)) AS s FROM documents WHERE length(text) > 0))"""),
+    "index_stats": (index_stats, f"SELECT count(*) AS chunks, count(DISTINCT path) AS files, 2::BIGINT AS runs FROM {_HELD}"),
     "indexed_scan": (indexed_scan, "SELECT doc_id, label::BIGINT AS label, length(text) AS n_chars FROM documents JOIN embeddings ON doc_id = vec_id WHERE len(embedding) = 64"),
-    "rag_ingest": (rag_ingest, f"""
-        SELECT path, row_number() OVER (PARTITION BY path ORDER BY s) - 1 AS ordinal, md5(c) AS chunk_md5 FROM (SELECT path, s, substr(text, s + 1, 900) AS c FROM (
-          SELECT k.path, text, unnest(range(0, greatest(ceil((length(text) - 900) / 780.0), 0)::BIGINT * 780 + 1, 780)) AS s FROM documents d JOIN {_CHANGED} k ON d.doc_id = k.doc_id WHERE length(text) > 0)) WHERE trim(translate(c, chr(10) || chr(9) || chr(13), '   ')) <> ''"""),
+    "rag_ingest": (rag_ingest, f"SELECT path, row_number() OVER (PARTITION BY path ORDER BY s) - 1 AS ordinal, md5(c) AS chunk_md5, round(length(regexp_replace(c, '[^a]', '', 'g')) / length(c), 6) AS first_share, run FROM {_HELD}"),
     "rag_query": (rag_query, """
         SELECT doc_id, score, md5(CASE WHEN length(text) > 480 THEN substr(text, 1, 480) || '…' ELSE text END) AS snippet_md5 FROM documents JOIN (SELECT e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 3) q ORDER BY score DESC, e.vec_id LIMIT 8) ON doc_id = vec_id"""),
     "retain_latest_3": (retain_latest_3, "SELECT source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS r FROM documents) WHERE r <= 3"),

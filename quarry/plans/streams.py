@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.plans.common import scratch, table
 from quarry.plans.events import _L, _T, lane_events
+from quarry.streaming import stateful as SF
 from quarry.streaming import streams as S
 
 
@@ -55,6 +56,38 @@ def stream_sink_json(spark, sf_dir):
     return spark.read.schema(df.schema).json(path)
 
 
+def _in_runs(spark, df, order, of, name, runs=3):
+    """All rows that `of` gives a stream of df whose files arrive in `runs` slices by `order`; the query stops after each and starts again from its checkpoint."""
+    path, out, state = (scratch(spark, f"{name}-{x}") for x in ("in", "out", "state"))
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    if low is None:
+        low = high = 0
+    cuts = [low + (high - low + 1) * i // runs for i in range(runs + 1)]
+    with SF.rocksdb_state(spark):
+        for a, b in zip(cuts, cuts[1:]):
+            df.where((F.col(order) >= a) & (F.col(order) < b)).write.mode("append").parquet(path)
+            found = of(spark.readStream.schema(df.schema).parquet(path))
+            found.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(out)
+
+
+def stream_nudges(spark, sf_dir):
+    """Views and clicks as nudges, clicks as retries that name an original, purchases as acknowledgements: which are new, retried or stale."""
+    e, bucket = table(spark, sf_dir, "events"), F.floor(F.col("value") % 40).cast("long")
+    kind = F.when(F.col("event_type").isin("view", "click"), "nudge").when(F.col("event_type") == "purchase", "ack")
+    d = e.select(F.col("user_id").alias("lane"), F.col("event_id").alias("seq"), kind.alias("kind"), F.concat(F.lit("n"), bucket).alias("nudge_id"), F.when(F.col("event_type") == "click", F.concat(F.lit("n"), F.floor(bucket / 2))).alias("original_id"))
+    return _in_runs(spark, d.where("kind is not null"), "seq", SF.classify_nudges, "nudges").select("lane", "seq", "nudge_id", "class")
+
+
+def stream_cached_lookups(spark, sf_dir):
+    """Purchases and signups store a user's completion, other events look it up: a hit within twelve hours of its present version."""
+    e = table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type").isin("purchase", "signup"), "store").otherwise("lookup")
+    version = F.when(F.col("event_type") == "purchase", "v1").otherwise("v0")
+    d = e.select(F.col("user_id").cast("string").alias("request"), F.col("event_id").alias("seq"), kind.alias("kind"), F.col("ts").cast("timestamp").alias("ts"), version.alias("version"))
+    return _in_runs(spark, d, "seq", lambda s: SF.cached_lookups(s, "12 hours"), "lookups")
+
+
 QUERIES = {
     "stream_windowed_counts": (stream_windowed_counts, """
         SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events
@@ -64,4 +97,18 @@ QUERIES = {
         SELECT lane, seq, CASE WHEN doubt > first THEN 'reconciled' ELSE event END AS event FROM (
           SELECT lane, min(event_id) FILTER ({_T}) AS first, arg_max(event, event_id) FILTER ({_T}) AS event, max(event_id) FILTER ({_T}) AS seq, max(event_id) FILTER (event = 'reconciled') AS doubt FROM {_L} GROUP BY lane) WHERE first IS NOT NULL"""),
     "sink_json": (stream_sink_json, "SELECT event_id, event_type FROM events"),
+    "stream_nudges": (stream_nudges, """
+        WITH b AS (SELECT user_id AS lane, event_id AS seq, event_type, floor(value % 40)::BIGINT AS bucket FROM events),
+        d AS (SELECT lane, seq, CASE WHEN event_type = 'purchase' THEN 'ack' ELSE 'nudge' END AS kind, 'n' || bucket AS nudge_id, CASE WHEN event_type = 'click' THEN 'n' || bucket // 2 END AS original_id FROM b WHERE event_type IN ('view', 'click', 'purchase')),
+        done AS (SELECT lane, nudge_id, min(seq) AS seq FROM d WHERE kind = 'ack' GROUP BY ALL),
+        own AS (SELECT lane, nudge_id, min(seq) AS seq FROM d WHERE kind = 'nudge' GROUP BY ALL),
+        firsts AS (SELECT o.lane, o.nudge_id, o.seq, d.original_id FROM own o JOIN d ON d.lane = o.lane AND d.seq = o.seq AND d.kind = 'nudge'),
+        named AS (SELECT lane, original_id AS nudge_id, min(seq) AS seq FROM firsts WHERE original_id IS NOT NULL GROUP BY ALL)
+        SELECT d.lane, d.seq, d.nudge_id, CASE WHEN done.seq < d.seq OR (named.seq < d.seq AND (own.seq = d.seq OR named.seq < own.seq)) THEN 'stale' WHEN own.seq < d.seq THEN 'retry' ELSE 'new' END AS class
+        FROM d JOIN own ON own.lane = d.lane AND own.nudge_id = d.nudge_id LEFT JOIN done ON done.lane = d.lane AND done.nudge_id = d.nudge_id LEFT JOIN named ON named.lane = d.lane AND named.nudge_id = d.nudge_id
+        WHERE d.kind = 'nudge'"""),
+    "stream_cached_lookups": (stream_cached_lookups, """
+        WITH e AS (SELECT user_id::VARCHAR AS request, event_id AS seq, event_type IN ('purchase', 'signup') AS stores, event_type = 'purchase' AS present, epoch_ms(ts) AS at_ms FROM events),
+        l AS (SELECT *, last_value(CASE WHEN stores THEN at_ms END IGNORE NULLS) OVER w AS stored, last_value(CASE WHEN stores THEN present END IGNORE NULLS) OVER w AS good FROM e WINDOW w AS (PARTITION BY request ORDER BY at_ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+        SELECT request, seq, coalesce(good AND at_ms - stored < 43200000, false) AS hit FROM l WHERE NOT stores"""),
 }
