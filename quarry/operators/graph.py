@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ast
-import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,33 +11,37 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions.vectors import dot, l2_normalize
+from quarry.operators.common import written
 
 
-def personalized_pagerank(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
+def personalized_pagerank(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20, cut: int = 5) -> DataFrame:
     """(node, rank) after a fixed number of rounds; edges (source, target, weight, confidence), nodes and seeds (node).
 
     Moves are in proportion to weight * confidence. Seeds that are no nodes still divide the
     start. Rank of nodes without an edge returns to the seeds undamped; a node whose weights sum
-    to 0 loses its rank. Every fifth round is checkpointed, so plans stay short; all rounds
-    are joins on the node, which Spark spreads and splits.
+    to 0 loses its rank. A round reads the ranks once: nodes without an edge send theirs to a
+    sink, and the sink's sum goes on to the seeds in the same round. So the plan grows by one
+    round at a time, the shuffle of the edges serves all rounds up to the next cut, and
+    every `cut` rounds the ranks are written.
     """
-    context = edges.sparkSession.sparkContext
-    if rounds > 5 and not context.getCheckpointDir():
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quarry-"))  # only where the cluster names none
+    nodes = nodes.select("node").distinct()
     n_seeds = seeds.count()
     e = edges.withColumn("w", F.col("weight") * F.col("confidence"))
     total = e.groupBy("source").agg(F.sum("w").alias("total"))
-    e = e.join(total, "source").where("total > 0").select("source", "target", (F.col("w") / F.col("total")).alias("share"))
-    start = nodes.join(seeds.withColumn("p", F.lit(1.0 / max(1, n_seeds))), "node", "left").select("node", F.coalesce("p", F.lit(0.0)).alias("p"))
-    has = total.select(F.col("source").alias("node"), F.lit(True).alias("has"))
-    start = start.join(has, "node", "left").select("node", "p", F.coalesce("has", F.lit(False)).alias("has"))
-    rank = start.withColumn("rank", F.col("p"))
+    e = e.join(nodes.select(F.col("node").alias("target")), "target", "left_semi")  # what moves to no node is lost
+    moves = e.join(total, "source").where("total > 0").select("source", "target", (F.lit(damping) * F.col("w") / F.col("total")).alias("share"))
+    ends = nodes.join(total, nodes["node"] == total["source"], "left_anti").select(F.col("node").alias("source"), F.lit(None).cast(nodes.schema["node"].dataType).alias("target"), F.lit(1.0).alias("share"))
+    moves = written(moves.unionByName(ends), "moves").repartition("source")
+    start = written(nodes.join(seeds.withColumn("p", F.lit(1.0 / max(1, n_seeds))), "node").groupBy("node").agg(F.sum("p").alias("p")), "start")
+    seeded = start.select(F.lit(-1).cast("long").alias("key"), F.col("node").alias("to"), "p")
+    rank = start.select("node", F.col("p").alias("rank"))
     for i in range(rounds):
-        flow = rank.join(e, rank["node"] == e["source"]).groupBy(F.col("target").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
-        lost = rank.where(~F.col("has")).agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))  # one row
-        rank = start.join(flow, "node", "left").crossJoin(F.broadcast(lost)).select("node", "p", "has", ((1 - damping) * F.col("p") + damping * F.coalesce("flow", F.lit(0.0)) + F.col("lost") * F.col("p")).alias("rank"))
-        if i % 5 == 4 and i + 1 < rounds:
-            rank = rank.checkpoint()
+        sent = rank.join(moves, rank["node"] == moves["source"]).groupBy("target").agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
+        key = F.when(F.col("target").isNull(), F.lit(-1).cast("long")).otherwise(F.xxhash64("target").bitwiseAND(F.lit((1 << 63) - 1)))
+        got = sent.withColumn("key", key).join(seeded, "key", "left").select(F.coalesce("target", "to").alias("node"), (F.col("flow") * F.when(F.col("target").isNull(), F.coalesce("p", F.lit(0.0))).otherwise(1.0)).alias("flow")).where("node is not null")
+        rank = got.unionByName(start.select("node", (F.lit(1 - damping) * F.col("p")).alias("flow"))).groupBy("node").agg(F.sum("flow").alias("rank"))
+        if i % cut == cut - 1 and i + 1 < rounds:
+            rank = written(rank, "rank")
     return rank.where("rank > 0").select("node", "rank")
 
 

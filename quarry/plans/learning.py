@@ -184,7 +184,7 @@ def _graph(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("b"))
     e = table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
     g = e.groupBy("n", "b").agg(F.count("*").cast("double").alias("weight"))
-    return g.select(F.col("n").alias("source"), F.col("b").alias("target"), "weight", F.lit(0.5).alias("confidence")).where("weight > 2")
+    return g.select(F.col("n").alias("source"), F.col("b").alias("target"), "weight", F.lit(0.5).alias("confidence"))
 
 
 def ppr(spark, sf_dir):
@@ -192,22 +192,22 @@ def ppr(spark, sf_dir):
     e = _graph(spark, sf_dir)
     nodes = e.select(F.col("source").alias("node")).union(e.select("target")).distinct()
     seeds = spark.createDataFrame([("n1",)], "node string")
-    return G.personalized_pagerank(e, nodes, seeds, rounds=3).select("node", F.round("rank", 6).alias("rank"))
+    return G.personalized_pagerank(e, nodes, seeds).select("node", F.round("rank", 6).alias("rank"))
 
 
-_G = "(SELECT 'n' || c_nationkey AS source, p_brand AS target, count(*)::DOUBLE AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey GROUP BY ALL HAVING count(*) > 2)"
+_G = "(SELECT 'n' || c_nationkey AS source, p_brand AS target, count(*)::DOUBLE AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey GROUP BY ALL)"
 
 
-def _ppr_ctes(edges, nodes, seeds, rounds=3):
+def _ppr_ctes(edges, nodes, seeds, rounds=20):
     """The rounds of PageRank as r0, r1, ...: edges (source, target, weight), nodes (node) and seeds (node)."""
-    ctes = f"e AS (SELECT source, target, weight / sum(weight) OVER (PARTITION BY source) AS share FROM {edges}), seeds AS ({seeds}), nodes AS ({nodes}), start AS (SELECT node, CASE WHEN node IN (SELECT node FROM seeds) THEN 1.0::DOUBLE / (SELECT count(*) FROM seeds) ELSE 0.0 END AS p FROM nodes), r0 AS (SELECT node, p AS rank FROM start)"
+    ctes = f"e AS MATERIALIZED (SELECT source, target, weight / sum(weight) OVER (PARTITION BY source) AS share FROM {edges}), seeds AS ({seeds}), nodes AS ({nodes}), start AS (SELECT node, CASE WHEN node IN (SELECT node FROM seeds) THEN 1.0::DOUBLE / (SELECT count(*) FROM seeds) ELSE 0.0 END AS p FROM nodes), r0 AS (SELECT node, p AS rank FROM start)"
     for i in range(rounds):
-        ctes += f""", r{i + 1} AS (SELECT n.node, (0.15 + (SELECT coalesce(sum(rank), 0) FROM r{i} WHERE node NOT IN (SELECT source FROM e))) * n.p + 0.85 * coalesce(f.flow, 0) AS rank
+        ctes += f""", r{i + 1} AS MATERIALIZED (SELECT n.node, (0.15 + (SELECT coalesce(sum(rank), 0) FROM r{i} WHERE node NOT IN (SELECT source FROM e))) * n.p + 0.85 * coalesce(f.flow, 0) AS rank
           FROM start n LEFT JOIN (SELECT target, sum(rank * share) AS flow FROM r{i} JOIN e ON node = source GROUP BY target) f ON n.node = f.target)"""
     return ctes
 
 
-_PPR = f"WITH {_ppr_ctes(_G, 'SELECT source AS node FROM e UNION SELECT target FROM e', 'SELECT chr(110) || 1 AS node')} SELECT node, round(rank, 6) AS rank FROM r3 WHERE rank > 0"
+_PPR = f"WITH {_ppr_ctes(_G, 'SELECT source AS node FROM e UNION SELECT target FROM e', 'SELECT chr(110) || 1 AS node')} SELECT node, round(rank, 6) AS rank FROM r20 WHERE rank > 0"
 
 
 def _code_nodes(spark, sf_dir):
@@ -229,14 +229,14 @@ def candidates_ppr(spark, sf_dir):
     ids = nodes.select(F.col("node").alias("source"))
     after = ids.join(ids.select(F.col("source").alias("target")), F.col("target") == F.col("source") + 1).withColumn("weight", F.lit(2.0))
     edges = after.unionByName(ids.select("source", F.floor(F.col("source") / 2).alias("target"), F.lit(1.0).alias("weight"))).withColumn("confidence", F.lit(0.5))
-    rank = G.personalized_pagerank(edges, ids.select(F.col("source").alias("node")), ppr_seeds(spark, sf_dir).select("node"), rounds=3)
+    rank = G.personalized_pagerank(edges, ids.select(F.col("source").alias("node")), ppr_seeds(spark, sf_dir).select("node"))
     chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk"), F.col("doc_id").alias("path"))
     return G.candidates_ppr(rank.select("node", F.round("rank", 9).alias("rank")), nodes.select("node", "file"), chunks)
 
 
 _SEEDS = "SELECT e.vec_id AS node, list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.vec_id % 3 < 2 ORDER BY score DESC, node LIMIT 3"
 _NEXT = "(SELECT a.vec_id AS source, b.vec_id AS target, 2.0::DOUBLE AS weight FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 UNION ALL SELECT vec_id, vec_id // 2, 1.0 FROM embeddings)"
-_CANDIDATES = f"""WITH {_ppr_ctes(_NEXT, 'SELECT vec_id AS node FROM embeddings', _SEEDS)}, best AS (SELECT node, row_number() OVER (ORDER BY round(rank, 9) DESC, node) AS pos FROM r3 WHERE rank > 0)
+_CANDIDATES = f"""WITH {_ppr_ctes(_NEXT, 'SELECT vec_id AS node FROM embeddings', _SEEDS)}, best AS (SELECT node, row_number() OVER (ORDER BY round(rank, 9) DESC, node) AS pos FROM r20 WHERE rank > 0)
         SELECT doc_id AS chunk, min(pos) AS pos FROM best JOIN documents ON doc_id = node // 2 WHERE pos <= 100 GROUP BY doc_id"""
 
 

@@ -53,6 +53,32 @@ def test_pagerank(spark):
     assert G.personalized_pagerank(e, n, spark.createDataFrame([], "node string"), rounds=2).count() == 0
 
 
+@pytest.mark.parametrize("n_seeds", [1, 3, 12])
+def test_pagerank_rounds(spark, n_seeds):
+    """Twenty rounds against a version by dictionaries: nodes without an edge, weights of 0, targets and seeds that are no nodes."""
+    import random
+
+    rng = random.Random(n_seeds)
+    names = [f"n{i}" for i in range(14)]
+    edges = [(rng.choice(names[:9]), rng.choice([*names, "outside"]), rng.choice([0.0, 1.0, 2.5]), rng.choice([0.5, 1.0])) for _ in range(30)] + [("n9", "n1", 0.0, 1.0)]
+    seeds = rng.sample([*names, "nowhere"], n_seeds)
+    out = {x: [(t, w * c) for s, t, w, c in edges if s == x] for x in names}
+    p = {x: 1 / n_seeds if x in seeds else 0.0 for x in names}
+    rank = dict(p)
+    for _ in range(20):
+        lost = sum(rank[x] for x in names if not out[x])
+        new = {x: (0.15 + lost) * p[x] for x in names}
+        for x in names:
+            total = sum(w for _, w in out[x])
+            for t, w in out[x]:
+                if total > 0 and t in new:
+                    new[t] += 0.85 * rank[x] * w / total
+        rank = new
+    frames = spark.createDataFrame(edges, "source string, target string, weight double, confidence double"), spark.createDataFrame([(x,) for x in names], "node string"), spark.createDataFrame([(x,) for x in seeds], "node string")
+    got = {r.node: r["rank"] for r in G.personalized_pagerank(*frames).collect()}
+    assert got == pytest.approx({x: r for x, r in rank.items() if r > 0})
+
+
 def test_learning(spark):
     a = spark.createDataFrame([(1, "x", True), (1, "y", True), (2, "x", False), (2, "y", False), (3, "x", True)], "session long, item string, ok boolean")
     (r,) = L.hebbian_edges(a).collect()
