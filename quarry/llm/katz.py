@@ -8,9 +8,10 @@ seen after it, so the probabilities after every context add up to one.
 
 The counts are tables cut by order and hash range. Batches of documents send each range
 the sorted hashes of their n-grams with the counts of training texts and get the totals
-back. A context that one batch alone has asked for is normalised there; for the others each
-n-gram's first batch adds its share to the context's row in a second table, and batches
-that back off from it get the weight. Then every batch evaluates its tokens, all orders at
+back. A context that one batch alone holds is normalised there; for the others each n-gram's
+first batch adds its share to the context's row in a second table, and batches that back off
+from it get the weight. No text that was trained on backs off, so contexts that no other
+text holds need no weight. Then every batch evaluates its tokens, all orders at
 once, from the shortest up. So a frequent n-gram costs one entry a batch.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.ngrams import by_range, counts_blob, counts_of, deal, ends_of, longer, merge, runs, texts_of
+from quarry.llm.ngrams import Merged, bits_blob, bits_of, by_range, counts_blob, counts_of, deal, ends_of, floats_blob, floats_of, longer, opened, runs, texts_of
 from quarry.llm.substring import _pack, _range_of, _unpack, word_bounds, word_hashes
 
 #: Counts up to this are discounted by Good-Turing; larger ones lose as many as this one does.
@@ -59,6 +60,7 @@ class _Grams:
     """The n-grams of a batch: each text is a start, its words and an end."""
 
     def __init__(self, t: pa.Table, order: int):
+        t = opened(t)
         texts = texts_of(t.column("text"))
         data, ends = ends_of(texts)
         starts, stops = word_bounds(data)
@@ -72,8 +74,9 @@ class _Grams:
         self.token[word] = word_hashes(data, starts, stops) if len(starts) else 0
         self.token[self.first], self.token[self.last] = _START, _END
         self.place = np.arange(len(word)) - np.repeat(self.first, size)
-        train = np.repeat(t.column("train").to_numpy(zero_copy_only=False).astype(bool), size)
-        self.hashes, self.index, self.local, self.at = [], [], [], []
+        train = np.repeat(t.column("train").to_numpy().astype(bool), size)
+        self.rows = t
+        self.hashes, self.index, self.local, self.asked, self.at = [], [], [], [], []
         gram = self.token
         for n in range(1, order + 1):
             if n > 1:
@@ -85,6 +88,7 @@ class _Grams:
             self.hashes.append(u)
             self.index.append(index)
             self.local.append(np.bincount(inverse, train[at], len(u)).astype(np.int64))
+            self.asked.append(np.bincount(inverse, ~train[at], len(u)) > 0)  # some text that wasn't trained on has it
             self.at.append(at)
 
     def parts(self, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,15 +108,15 @@ class _Model:
         self.cuts = [_range_of(u, n_ranges) for u in g.hashes]
         self.total = [np.zeros(len(u), np.int64) for u in g.hashes]
         self.owner = [np.zeros(len(u), bool) for u in g.hashes]
-        self.shared = [np.zeros(len(u), bool) for u in g.hashes]  # other batches have the n-gram as well
+        self.shared = [np.zeros(len(u), bool) for u in g.hashes]  # other batches have the n-gram as well, and someone may back off from it
         stats = None
         for row in answers.to_pylist():
             if row["owner"] is not None:
                 n, at = row["order"], self.cuts[row["order"] - 1]
                 a, b = at[row["range"]], at[row["range"] + 1]
                 self.total[n - 1][a:b] = counts_of(row["data"], int(b - a))
-                self.owner[n - 1][a:b] = np.unpackbits(np.frombuffer(row["owner"], np.uint8), count=int(b - a)).astype(bool)
-                self.shared[n - 1][a:b] = np.unpackbits(np.frombuffer(row["shared"], np.uint8), count=int(b - a)).astype(bool)
+                for name, bits in (("owner", self.owner), ("shared", self.shared)):
+                    bits[n - 1][a:b] = bits_of(row[name], int(b - a))
                 stats = row["stats"]
         self.stats = np.array(stats, np.int64).reshape(order, _STATS)
         self.d = [discounts(x) for x in self.stats]
@@ -150,7 +154,7 @@ class _Model:
         return want & (self.total[n - 2] > 0)
 
 
-_RIGHT = "batch int, order int, range int, data binary, owner binary, shared binary, stats array<long>"
+_RIGHT = "batch long, order int, range int, data binary, owner binary, shared binary, stats array<long>"
 
 
 def katz_scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", order: int = 2) -> DataFrame:
@@ -172,27 +176,26 @@ def katz_scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str =
 
     def count(t: pa.Table) -> pa.Table:
         g, batch = _Grams(t, order), t.column("batch")[0].as_py()
-        rows = {"batch": [], "order": [], "range": [], "run": [], "counts": []}
+        rows: dict[str, list] = {"batch": [], "order": [], "range": [], "run": [], "counts": [], "asked": []}
         for n in range(1, order + 1):
-            full, packed, counts = runs(g.hashes[n - 1], g.local[n - 1], n_ranges)
-            for name, values in zip(rows, ([batch] * len(full), [n] * len(full), full, packed, counts)):
+            full, where, packed = runs(g.hashes[n - 1], n_ranges)
+            for name, values in zip(rows, ([batch] * len(full), [n] * len(full), full, packed, [counts_blob(g.local[n - 1][w]) for w in where], [bits_blob(g.asked[n - 1][w]) for w in where])):
                 rows[name] += values
-        return pa.table(rows, schema=pa.schema([("batch", pa.int32()), ("order", pa.int32()), ("range", pa.int32()), ("run", pa.binary()), ("counts", pa.binary())]))
+        return pa.table(rows, schema=pa.schema([("batch", pa.int64()), ("order", pa.int32()), ("range", pa.int32()), ("run", pa.binary()), ("counts", pa.binary()), ("asked", pa.binary())]))
 
     def total(t: pa.Table) -> pa.Table:
         t = t.sort_by("batch")
-        keys, totals, owner, shared, u, c = merge(t)
+        m = Merged(t)
+        asked = m.any(np.concatenate([bits_of(x.as_py(), n) for x, n in zip(t.column("asked"), m.sizes)]))
         n, at = t.column("order")[0].as_py(), t.column("range")[0].as_py()
-        c = c[(u != _START) & (c > 0)] if n == 1 else c[c > 0]
+        c = m.sums[(m.sums > 0) & ((m.distinct != _START) | (n > 1))]
         own = [int((c == r).sum()) for r in range(1, KATZ + 2)] + [int(c.sum()), len(c)]
         stats = [0] * ((n - 1) * _STATS) + own + [0] * ((order - n) * _STATS)
-        ends = np.cumsum([len(k) for k in keys])[:-1]
-        data = [counts_blob(x) for x in np.split(totals, ends)] + [None]
-        owners, shareds = ([np.packbits(x).tobytes() for x in np.split(b, ends)] + [None] for b in (owner, shared))
-        size = len(keys)
+        size = len(m.sizes)
+        blobs = ([*map(blob, m.split(x)), None] for blob, x in ((counts_blob, m.totals), (bits_blob, m.owner), (bits_blob, m.shared & asked)))
         return pa.table([
-            pa.array([*t.column("batch").to_pylist(), -1], pa.int32()), pa.array([n] * (size + 1), pa.int32()), pa.array([at] * (size + 1), pa.int32()),
-            pa.array(data, pa.binary()), pa.array(owners, pa.binary()), pa.array(shareds, pa.binary()), pa.array([None] * size + [stats], pa.list_(pa.int64())),
+            pa.array([*t.column("batch").to_pylist(), -1], pa.int64()), pa.array([n] * (size + 1), pa.int32()), pa.array([at] * (size + 1), pa.int32()),
+            *[pa.array(x, pa.binary()) for x in blobs], pa.array([None] * size + [stats], pa.list_(pa.int64())),
         ], names=["batch", "order", "range", "data", "owner", "shared", "stats"])
 
     def share(t: pa.Table, answers: pa.Table) -> pa.Table:
@@ -205,19 +208,18 @@ def katz_scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str =
                 a, b = int(at[i]), int(at[i + 1])
                 sent = a + np.flatnonzero(shared[a:b] & (want[a:b] | (taken[a:b] > 0)))
                 if len(sent):
-                    for name, value in zip(rows, (batch, n, i, _pack(m.g.hashes[n - 2][sent]), taken[sent].tobytes(), shorter[sent].tobytes(), np.packbits(want[sent]).tobytes())):
+                    for name, value in zip(rows, (batch, n, i, _pack(m.g.hashes[n - 2][sent]), floats_blob(taken[sent]), floats_blob(shorter[sent]), bits_blob(want[sent]))):
                         rows[name].append(value)
-        return pa.table(rows, schema=pa.schema([("batch", pa.int32()), ("order", pa.int32()), ("range", pa.int32()), *[(c, pa.binary()) for c in ("run", "taken", "shorter", "want")]]))
+        return pa.table(rows, schema=pa.schema([("batch", pa.int64()), ("order", pa.int32()), ("range", pa.int32()), *[(c, pa.binary()) for c in ("run", "taken", "shorter", "want")]]))
 
     def weigh(t: pa.Table) -> pa.Table:
         t = t.sort_by("batch")
         keys = [_unpack(x.as_py()) for x in t.column("run")]
-        taken, shorter = (np.concatenate([np.frombuffer(x.as_py()) for x in t.column(c)]) for c in ("taken", "shorter"))
+        taken, shorter = (np.concatenate([floats_of(x.as_py(), len(k)) for x, k in zip(t.column(c), keys)]) for c in ("taken", "shorter"))
         _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         weight = np.bincount(inverse, taken) / (1 - np.bincount(inverse, shorter))  # times 1 / c(h), which the batch knows
-        ends = np.cumsum([len(k) for k in keys])[:-1]
-        want = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(k)).astype(bool) for x, k in zip(t.column("want"), keys)]
-        data = [x[w].tobytes() for x, w in zip(np.split(weight[inverse], ends), want)]
+        want = [bits_of(x.as_py(), len(k)) for x, k in zip(t.column("want"), keys)]
+        data = [floats_blob(x[w]) for x, w in zip(np.split(weight[inverse], np.cumsum([len(k) for k in keys])[:-1]), want)]
         keep = pa.array([bool(w.any()) for w in want])
         return pa.table({"batch": t.column("batch"), "order": t.column("order"), "range": t.column("range"), "data": pa.array(data, pa.binary())}).filter(keep)
 
@@ -238,12 +240,13 @@ def katz_scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str =
             base = np.log10((c + 0.1) / (m.tokens + 0.1 * (m.types + 1)))
             for n in range(2, order + 1):
                 taken, shorter = m.shares(n)
-                weight = np.divide(taken, 1 - shorter, out=np.ones(len(taken)), where=~m.shared[n - 2] & (m.total[n - 2] > 0))
+                weight = np.divide(taken, 1 - shorter, out=np.ones(len(taken)), where=~m.shared[n - 2] & m.wanted(n))
                 sent = m.shared[n - 2] & m.wanted(n)
                 for i in range(n_ranges):
                     if (n, i) in weights:
                         a, b = int(m.cuts[n - 2][i]), int(m.cuts[n - 2][i + 1])
-                        weight[a + np.flatnonzero(sent[a:b])] = np.frombuffer(weights[n, i])
+                        here = a + np.flatnonzero(sent[a:b])
+                        weight[here] = floats_of(weights[n, i], len(here))
                 backoff = np.log10(weight / np.maximum(m.total[n - 2], 1))
                 gram, context = g.index[n - 1][at], g.index[n - 2][at - 1]
                 has = gram >= 0
@@ -251,21 +254,21 @@ def katz_scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str =
                 known = has & (m.total[n - 2][np.maximum(context, 0)] > 0)
                 logp = np.where(seen, np.log10(m.p[n - 1][np.maximum(gram, 0)]), logp + np.where(known, backoff[np.maximum(context, 0)], 0.0))
         row = np.searchsorted(g.first, at, side="right") - 1
-        n_rows = t.num_rows
+        n_rows = g.rows.num_rows
         size = np.bincount(row, minlength=n_rows)
         return pa.Table.from_arrays([
-            t.column("key"), t.column("train"), pa.array(size, pa.int64()), pa.array(np.bincount(row, c > 0, n_rows).astype(np.int64)),
+            g.rows.column("key"), g.rows.column("train"), pa.array(size, pa.int64()), pa.array(np.bincount(row, c > 0, n_rows).astype(np.int64)),
             pa.array(np.full(n_rows, m.tokens), pa.int64()), pa.array(np.full(n_rows, m.types), pa.int64()),
             pa.array(np.bincount(row, base, n_rows)), pa.array(np.bincount(row, logp, n_rows)),
         ], names=out.names)
 
-    counted = by_range(dealt.groupBy("batch").applyInArrow(count, "batch int, order int, range int, run binary, counts binary"), n_ranges)
+    counted = by_range(dealt.groupBy("batch").applyInArrow(count, "batch long, order int, range int, run binary, counts binary, asked binary"), n_ranges)
     totals = counted.groupBy("order", "range").applyInArrow(total, _RIGHT)
     stats = totals.where("batch = -1").agg(F.array(*[F.sum(F.col("stats")[i]) for i in range(order * _STATS)]).alias("stats"))
     answers = totals.where("batch >= 0").drop("stats").crossJoin(F.broadcast(stats))  # one row
     if order > 1:
-        shares = by_range(dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(share, "batch int, order int, range int, run binary, taken binary, shorter binary, want binary"), n_ranges)
-        weights = shares.groupBy("order", "range").applyInArrow(weigh, "batch int, order int, range int, data binary")
+        shares = by_range(dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(share, "batch long, order int, range int, run binary, taken binary, shorter binary, want binary"), n_ranges)
+        weights = shares.groupBy("order", "range").applyInArrow(weigh, "batch long, order int, range int, data binary")
         answers = answers.unionByName(weights, allowMissingColumns=True)
     return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score, out)
 

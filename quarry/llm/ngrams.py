@@ -1,13 +1,16 @@
-"""What the operators on word n-grams share: batches of documents, and sorted runs of hashes that hash ranges merge."""
+"""What the operators on word n-grams share: packed batches of documents, and sorted runs of hashes that hash ranges merge."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import partitions_for
+from quarry.llm.common import partitions_for, slices
 from quarry.llm.substring import _mix, _pack, _range_of, _unpack
 
 #: Bytes of text that a batch is meant to hold, and whose n-grams one hash range is meant to merge.
@@ -16,17 +19,41 @@ RANGE_BYTES = 12 << 20
 _NEXT = np.uint64(0xA0761D6478BD642F)
 
 
-def deal(rows: DataFrame, text: str, batch_bytes: int | None = None) -> tuple[DataFrame, int]:
-    """rows with a column `batch`, dealt evenly whatever their values are, and the number of hash ranges.
+def deal(rows: DataFrame, text: str) -> tuple[DataFrame, int]:
+    """rows as (batch, blob), neighbouring rows of about BATCH_BYTES of text in a compressed blob (see `opened`), and the number of hash ranges.
 
-    rows must come in the same order whenever they are read again, as those of a table do.
+    A longer text is a batch of its own. Batches are known by their place in the table, so rows
+    must come in the same order whenever they are read again, as those of a table do.
     """
-    spark = rows.sparkSession
+    spark, at, limit = rows.sparkSession, rows.columns.index(text), BATCH_BYTES
     size = rows.select(F.sum(F.octet_length(text))).first()[0] or 0
-    n_batches = max(1, -(-size // (batch_bytes or BATCH_BYTES)))
     n_ranges = max(1, -(-size // RANGE_BYTES))
-    at = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_batches)).cast("int")
-    return rows.withColumn("batch", at).repartition(partitions_for(spark, size, 32 << 20), "batch"), n_ranges
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, bytes_held, number = [], 0, TaskContext.get().partitionId() << 32
+
+        def blob() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(pa.Table.from_batches(held).combine_chunks())
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["batch", "blob"])
+
+        for batch in batches:
+            for part in slices(batch, at, limit):
+                held.append(part)
+                bytes_held += part.column(at).nbytes
+                if bytes_held >= limit:
+                    yield blob()
+                    held, bytes_held, number = [], 0, number + 1
+        if held:
+            yield blob()
+
+    return rows.mapInArrow(pack, "batch long, blob binary").repartition(partitions_for(spark, size, limit), "batch"), n_ranges
+
+
+def opened(t: pa.Table) -> pa.Table:
+    """The rows of a batch."""
+    return pa.ipc.open_stream(t.column("blob")[0].as_buffer()).read_all()
 
 
 def texts_of(column: pa.ChunkedArray) -> list[bytes]:
@@ -34,54 +61,89 @@ def texts_of(column: pa.ChunkedArray) -> list[bytes]:
     return [x.lower() if x else b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def ends_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts one after the other with a line feed behind each, and where each ends."""
+    return np.frombuffer(b"\n".join(texts) + b"\n", np.uint8), np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+
+
 def longer(gram: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Hashes of n-grams followed by one more word each."""
     return _mix(gram * _NEXT + word)
 
 
 def counts_blob(c: np.ndarray) -> bytes:
-    """Counts in as few bytes each as the largest needs."""
+    """Counts in as few bytes each as the largest needs, compressed."""
     top = int(c.max()) if len(c) else 0
-    return c.astype(np.uint8 if top < 1 << 8 else np.uint32 if top < 1 << 32 else np.uint64).tobytes()
+    c = c.astype(np.uint8 if top < 1 << 8 else np.uint32 if top < 1 << 32 else np.uint64)
+    return bytes([c.itemsize]) + pa.compress(c.tobytes(), "zstd", asbytes=True)
 
 
 def counts_of(blob: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(blob, {1: np.uint8, 4: np.uint32, 8: np.uint64}[len(blob) // n]).astype(np.int64) if n else np.zeros(0, np.int64)
+    width = blob[0]
+    return np.frombuffer(pa.decompress(blob[1:], n * width, "zstd", asbytes=True), f"u{width}").astype(np.int64)
+
+
+def floats_blob(x: np.ndarray) -> bytes:
+    """Numbers with their first bytes first, compressed."""
+    return pa.compress(np.ascontiguousarray(np.ascontiguousarray(x, np.float64).view(np.uint8).reshape(-1, 8).T).tobytes(), "zstd", asbytes=True)
 
 
-def runs(u: np.ndarray, c: np.ndarray, n_ranges: int) -> tuple[list[int], list[bytes], list[bytes]]:
-    """Sorted hashes and their counts by hash range: ranges, packed hashes, packed counts."""
+def floats_of(blob: bytes, n: int) -> np.ndarray:
+    raw = np.frombuffer(pa.decompress(blob, 8 * n, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, n).T).view(np.float64).ravel()
+
+
+def bits_blob(x: np.ndarray) -> bytes:
+    return pa.compress(np.packbits(x).tobytes(), "zstd", asbytes=True)
+
+
+def bits_of(blob: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(pa.decompress(blob, -(-n // 8), "zstd", asbytes=True), np.uint8), count=n).astype(bool)
+
+
+def runs(u: np.ndarray, n_ranges: int) -> tuple[list[int], list[slice], list[bytes]]:
+    """Sorted hashes by hash range: the ranges that they fall in, where, and the hashes packed."""
     at = _range_of(u, n_ranges)
     full = [i for i in range(n_ranges) if at[i + 1] > at[i]]
-    return full, [_pack(u[at[i]:at[i + 1]]) for i in full], [counts_blob(c[at[i]:at[i + 1]]) for i in full]
+    where = [slice(int(at[i]), int(at[i + 1])) for i in full]
+    return full, where, [_pack(u[w]) for w in where]
+
 
+class Merged:
+    """A range's runs (run, counts), in order of their batch, all hashes one after the other.
 
-def merge(t: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a range's runs (run, counts) in order of their batch: hashes per run, and for all hashes one after the other the total
-    of each, whether a run is the first to count it and whether several runs hold it; then the distinct hashes and their totals.
+    totals: of each hash its count in all runs; owner: whether a run is the first to count it;
+    shared: whether several runs hold it; distinct and sums: the distinct hashes and their counts.
     """
-    keys = [_unpack(x.as_py()) for x in t.column("run")]
-    h = np.concatenate(keys)
-    c = np.concatenate([counts_of(x.as_py(), len(k)) for x, k in zip(t.column("counts"), keys)])
-    order = np.argsort(h, kind="stable")
-    s, c = h[order], c[order]
-    new = np.r_[True, s[1:] != s[:-1]]
-    at = np.flatnonzero(new)
-    total = np.add.reduceat(c, at)
-    group = np.cumsum(new) - 1
-    before = np.cumsum(c) - c  # counts ahead of an entry; within its group none if it is the first to count
-    owner = np.empty(len(h), bool)
-    owner[order] = (c > 0) & (before == before[at][group])
-    totals, shared = np.empty(len(h), np.int64), np.empty(len(h), bool)
-    totals[order] = total[group]
-    shared[order] = np.diff(np.r_[at, len(h)])[group] > 1
-    return keys, totals, owner, shared, s[at], total
+
+    def __init__(self, t: pa.Table):
+        keys = [_unpack(x.as_py()) for x in t.column("run")]
+        self.sizes = [len(k) for k in keys]
+        h = np.concatenate(keys)
+        c = np.concatenate([counts_of(x.as_py(), n) for x, n in zip(t.column("counts"), self.sizes)])
+        self._order = order = np.argsort(h, kind="stable")
+        s, c = h[order], c[order]
+        new = np.r_[True, s[1:] != s[:-1]]
+        self._at = at = np.flatnonzero(new)
+        self._group = group = np.cumsum(new) - 1
+        self.distinct, self.sums = s[at], np.add.reduceat(c, at)
+        before = np.cumsum(c) - c  # counts ahead of an entry; within its group none if it is the first to count
+        self.totals = self._back(self.sums[group])
+        self.owner = self._back((c > 0) & (before == before[at][group]))
+        self.shared = self._back(np.diff(np.r_[at, len(h)])[group] > 1)
+
+    def _back(self, x: np.ndarray) -> np.ndarray:
+        out = np.empty(len(x), x.dtype)
+        out[self._order] = x
+        return out
+
+    def any(self, bits: np.ndarray) -> np.ndarray:
+        """For each hash whether any run has the bit."""
+        return self._back(np.logical_or.reduceat(bits[self._order], self._at)[self._group])
+
+    def split(self, x: np.ndarray) -> list[np.ndarray]:
+        return np.split(x, np.cumsum(self.sizes)[:-1])
 
 
 def by_range(runs_of: DataFrame, n_ranges: int) -> DataFrame:
     return runs_of.repartition(max(int(runs_of.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_ranges), "order", "range")
-
-
-def ends_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The texts one after the other with a line feed behind each, and where each ends."""
-    return np.frombuffer(b"\n".join(texts) + b"\n", np.uint8), np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)

@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.llm.common import materialize
-from quarry.llm.ngrams import by_range, counts_blob, counts_of, deal, ends_of, longer, merge, runs, texts_of
+from quarry.llm.ngrams import Merged, bits_blob, bits_of, by_range, counts_blob, counts_of, deal, ends_of, longer, opened, runs, texts_of
 from quarry.llm.substring import _mix, _range_of, word_hashes
 
 #: Bytes between words, and those that also end a piece.
@@ -127,22 +127,21 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", longe
 
     def count(t: pa.Table) -> pa.Table:
         batch, rows = t.column("batch")[0].as_py(), {"batch": [], "order": [], "range": [], "run": [], "counts": []}
-        for k, (h, c, _) in enumerate(_counted(_Words(t))[1], 1):
-            full, packed, counts = runs(h, c, n_ranges)
-            for name, values in zip(rows, ([batch] * len(full), [k] * len(full), full, packed, counts)):
+        for k, (h, c, _) in enumerate(_counted(_Words(opened(t)))[1], 1):
+            full, where, packed = runs(h, n_ranges)
+            for name, values in zip(rows, ([batch] * len(full), [k] * len(full), full, packed, [counts_blob(c[w]) for w in where])):
                 rows[name] += values
-        return pa.table(rows, schema=pa.schema([("batch", pa.int32()), ("order", pa.int32()), ("range", pa.int32()), ("run", pa.binary()), ("counts", pa.binary())]))
+        return pa.table(rows, schema=pa.schema([("batch", pa.int64()), ("order", pa.int32()), ("range", pa.int32()), ("run", pa.binary()), ("counts", pa.binary())]))
 
     def answer(t: pa.Table) -> pa.Table:
         t = t.sort_by("batch")
-        keys, total, owner, *_ = merge(t)
-        total = np.where(total >= least, total, 0)
-        ends = np.cumsum([len(k) for k in keys])[:-1]
-        named = [counts_blob(np.where(o, x, 0)[x > 0]) for x, o in zip(np.split(total, ends), np.split(owner, ends))]  # of frequent ones: the total, in the batch that names it
-        return pa.table({"batch": t.column("batch"), "order": t.column("order"), "range": t.column("range"), "frequent": pa.array([np.packbits(x > 0).tobytes() for x in np.split(total, ends)], pa.binary()), "total": pa.array(named, pa.binary())})
+        m = Merged(t)
+        total = m.split(np.where(m.totals >= least, m.totals, 0))
+        named = [counts_blob(np.where(o, x, 0)[x > 0]) for x, o in zip(total, m.split(m.owner))]  # of frequent ones: the total, in the batch that names it
+        return pa.table({"batch": t.column("batch"), "order": t.column("order"), "range": t.column("range"), "frequent": pa.array([bits_blob(x > 0) for x in total], pa.binary()), "total": pa.array(named, pa.binary())})
 
     def name(t: pa.Table, answers: pa.Table) -> pa.Table:
-        w = _Words(t)
+        w = _Words(opened(t))
         ids, counted = _counted(w)
         out: list[tuple] = []
         frequent = {}
@@ -151,7 +150,7 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", longe
             ok, total = np.zeros(len(h), bool), np.zeros(len(h), np.int64)
             for o, i, bits, blob in zip(*[answers.column(c).to_pylist() for c in ("order", "range", "frequent", "total")]):
                 if o == k:
-                    ok[at[i]:at[i + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(at[i + 1] - at[i])).astype(bool)
+                    ok[at[i]:at[i + 1]] = bits_of(bits, int(at[i + 1] - at[i]))
                     mine = at[i] + np.flatnonzero(ok[at[i]:at[i + 1]])
                     total[mine] = counts_of(blob, len(mine))
             for i in np.flatnonzero(total).tolist():
@@ -173,8 +172,8 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", longe
         code, phrase, k, f = zip(*out) if out else ((), (), (), ())
         return pa.table([pa.array([w.langs[i] for i in code], pa.string()), pa.array(phrase, pa.string()), pa.array(k, pa.int32()), pa.array(f, pa.int64())], names=["lang", "phrase", "k", "f"])
 
-    answers = by_range(dealt.groupBy("batch").applyInArrow(count, "batch int, order int, range int, run binary, counts binary"), n_ranges)
-    answers = answers.groupBy("order", "range").applyInArrow(answer, "batch int, order int, range int, frequent binary, total binary")
+    answers = by_range(dealt.groupBy("batch").applyInArrow(count, "batch long, order int, range int, run binary, counts binary"), n_ranges)
+    answers = answers.groupBy("order", "range").applyInArrow(answer, "batch long, order int, range int, frequent binary, total binary")
     named = dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(name, "lang string, phrase string, k int, f long")
     named = materialize(named.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("k") == 0)), "phrases")
     words = named.where("k = 0").select("lang", F.col("f").alias("n"))
