@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 SLICE = 7 * 86400
 
 
+#: What comes before a URL's host: scheme and user.
+_BEFORE = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?"
+
+
 def host_of(url: Column) -> Column:
-    """The host of an absolute URL in lower case, without user, port and a final dot; null if there is none."""
-    h = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]*)", 1))
+    """The host of an absolute URL in lower case, without user, port and a final dot; an IPv6 address with its brackets; null if there is none."""
+    h = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), _BEFORE + r"(\[[^\]/?#]*\]|[^/?#:@]*)", 1))
     h = F.regexp_replace(h, r"\.$", "")
     return F.when(h != "", h)
 
@@ -23,15 +27,30 @@ def path_of(url: Column) -> Column:
     return F.when(p == "", F.lit("/")).otherwise(p)
 
 
-def url_keys(url: Column) -> Column:
-    """The keys that could list a URL: "host" for it and all its parent domains, and "host/a/b" for all leading segments."""
-    labels = F.split(host_of(url), r"\.")
-    n = F.size(labels)
-    hosts = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("d:"), F.array_join(F.slice(labels, n - i + 1, i), ".")))
+def is_address(host: Column) -> Column:
+    """Whether a host is a numeric address, which has no parent domains."""
+    return F.startswith(host, F.lit("[")) | host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
+
+
+def host_tail(host: Column) -> Column:
+    """What a host and all that could list it share: its last label, or all of an address."""
+    return F.when(is_address(host), host).otherwise(F.substring_index(host, ".", -1))
+
+
+def labels_of(host: Column) -> Column:
+    """How many labels a host has; an address counts as one."""
+    return F.when(is_address(host), 1).otherwise(F.size(F.split(host, r"\.")))
+
+
+def host_key(host: Column, labels: Column) -> Column:
+    """The key that could list a host by its last `labels` labels; null where it has fewer."""
+    return F.when(is_address(host), F.concat(F.lit("d:"), host)).when(labels_of(host) >= labels, F.concat(F.lit("d:"), F.call_function("substring_index", host, F.lit("."), -labels)))
+
+
+def path_key(url: Column, depth: Column) -> Column:
+    """The key that could list a URL by its host and its first `depth` segments; null where it has fewer."""
     segments = F.filter(F.split(path_of(url), "/"), lambda x: x != "")
-    m = F.size(segments)
-    paths = F.when(m > 0, F.transform(F.sequence(F.lit(1), m), lambda i: F.concat(F.lit("p:"), host_of(url), F.lit("/"), F.array_join(F.slice(segments, 1, i), "/")))).otherwise(F.array().cast("array<string>"))
-    return F.when(host_of(url).isNotNull(), F.concat(hosts, paths)).otherwise(F.array().cast("array<string>"))
+    return F.when(F.size(segments) >= depth, F.concat(F.lit("p:"), host_of(url), F.lit("/"), F.array_join(F.slice(segments, F.lit(1), depth), "/")))
 
 
 def validity(entries: DataFrame) -> DataFrame:
@@ -58,13 +77,24 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", fetch
     spread over slices and Spark may split it further; a capture meets one interval per key and
     category. Captures are matched once per distinct (url, time).
 
+    Keys are "d:host", for a host and all below it (an address has nothing below), and
+    "p:host/a/b" for leading segments. A URL gets keys
+    only at the depths that the list has for its last label and for its host, so one of a
+    million labels or segments makes no more of them than the list asks.
+
     Null or hostless URLs and null times match nothing and are not blocked; repeated rows are
     judged alike. An empty list blocks nothing; an empty table gives an empty result. Other
     columns are left out.
     """
     c = captures.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keep)], F.col(url).alias("_url"), F.col(fetched).cast("long").alias("_t"))
     asked = c.where(F.col("_t").isNotNull()).select("_url", "_t").distinct()
-    asked = asked.select("_url", "_t", F.explode(url_keys(F.col("_url"))).alias("key"), F.floor(F.col("_t") / slice_s).alias("_slice"))
+    asked = asked.withColumn("_host", host_of(F.col("_url"))).where("_host is not null")
+    host = F.split_part(F.substring("key", 3, 1 << 30), F.lit("/"), F.lit(1))
+    domains = entries.where(F.startswith("key", F.lit("d:"))).select(host_tail(F.substring("key", 3, 1 << 30)).alias("_tail"), labels_of(F.substring("key", 3, 1 << 30)).alias("_labels")).distinct()
+    paths = entries.where(F.startswith("key", F.lit("p:"))).select(host.alias("_host"), (F.length("key") - F.length(F.replace(F.col("key"), F.lit("/"), F.lit("")))).alias("_depth")).where("_depth > 0").distinct()
+    wide = asked.withColumn("_tail", host_tail(F.col("_host"))).join(domains, "_tail").select("_url", "_t", host_key(F.col("_host"), F.col("_labels")).alias("key"))
+    deep = asked.join(paths, "_host").select("_url", "_t", path_key(F.col("_url"), F.col("_depth")).alias("key"))
+    asked = wide.unionByName(deep).where("key is not null").withColumn("_slice", F.floor(F.col("_t") / slice_s))
     present = asked.select("key", "_slice").distinct()  # an entry is dealt to slices that captures of its key lie in, no others
     v = validity(entries).join(present, "key").where((F.floor(F.col("start") / slice_s) <= F.col("_slice")) & (F.col("until").isNull() | (F.floor((F.col("until") - 1) / slice_s) >= F.col("_slice"))))
     hit = asked.join(v, ["key", "_slice"]).where((F.col("start") <= F.col("_t")) & (F.col("until").isNull() | (F.col("_t") < F.col("until"))))

@@ -375,6 +375,16 @@ def test_urls_of_any_depth(spark):
     assert got == [(1, True, "a.b.c.d.e.x.com"), (2, True, "y.com/1/2/3/4/5"), (3, False, None), (4, False, None)]
 
 
+def test_urls_of_addresses_and_hostile_ones(spark):
+    """IPv6 and IPv4 hosts have no parents, ports and users don't count, and URLs of 1 MB end."""
+    deep, wide = "http://y.com/" + "a/" * 500_000, "http://" + "a." * 500_000 + "y.com/"
+    urls = ["http://[2001:db8::1]/x", "http://u@[2001:DB8::1]:80/x/y", "http://[2001:db8::2]/", "http://1.2.3.4/", "http://9.2.3.4/", "http://y.com:8080/a", deep, wide, "http://[2001/x", "http://x.y.com./a/a"]
+    c = spark.createDataFrame([(i, u, 100, "clash", True, 7) for i, u in enumerate(urls)], "page_id long, url string, fetched long, key string, blocked boolean, _slice int")
+    e = spark.createDataFrame([(k, 50, "add", "s", "clash") for k in ("d:[2001:db8::1]", "d:2.3.4", "d:1.2.3.4", "p:y.com/a/a", "d:a.y.com", "p:[2001:db8::1]/x/y")], "key string, ts long, action string, category string, _host string")
+    got = {r.page_id: (r.n_matches, r.matched_key) for r in urlfilter.filter_urls(c, e).collect()}
+    assert got == {0: (1, "[2001:db8::1]"), 1: (2, "[2001:db8::1]/x/y"), 2: (0, None), 3: (1, "1.2.3.4"), 4: (0, None), 5: (0, None), 6: (1, "y.com/a/a"), 7: (1, "a.y.com"), 8: (0, None), 9: (0, None)}
+
+
 def test_bit_sliced_comparison():
     """Wide fingerprints compared by planes and carry-save counters against plain counts of differing bits."""
     from quarry.llm import nearcopies
