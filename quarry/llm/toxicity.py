@@ -219,13 +219,14 @@ def learn_lexicon(texts: DataFrame, n_toxic: int, n_clean: int) -> dict[str, flo
     texts, log odds of 1.5 and 4 standard errors. The MAX_LEARNED surest are returned.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toxic, clean = Counter(), Counter()
+        toxic, clean, held = Counter(), Counter(), 0
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                (toxic if label else clean).update({s for w in {*(text or "").split()} if (b := bare(w)) and len(b) > 2 and len(b) <= 64 for s in stems(b)})
-            if len(toxic) + len(clean) > 2_000_000:
-                yield out(toxic, clean)
-                toxic, clean = Counter(), Counter()
+                (toxic if label else clean).update({s for w in {*(text or "").split()} if (b := bare(w)) and len(b) > 2 for s in stems(b)})
+                held += len(text or "")
+                if len(toxic) + len(clean) > 2_000_000 or held > 64 << 20:
+                    yield out(toxic, clean)
+                    toxic, clean, held = Counter(), Counter(), 0
         yield out(toxic, clean)
 
     def out(toxic: Counter, clean: Counter) -> pa.RecordBatch:
