@@ -11,14 +11,24 @@ from quarry.llm.common import materialize
 _APART = 0x5851F42D4C957F2D
 
 
-def _neighbour_min(pairs: DataFrame) -> DataFrame:
+#: Links (32 bytes each) up to which a round takes as many tasks as they fill, rather than the session's number; and those of one.
+SMALL_LINKS = 1 << 21
+TASK_LINKS = 1 << 18
+
+
+def _dealt(df: DataFrame, n: int | None, *keys: str) -> DataFrame:
+    return df.repartition(n, *keys) if n else df
+
+
+def _neighbour_min(pairs: DataFrame, n: int | None) -> DataFrame:
     """pairs (u, v) with the least of u and its v as m.
 
     The other side has one row per u. If the join could use the aggregate's own exchange,
     all links of a hot u would stay in one task; with a key of its own, adaptive execution splits them.
     """
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").bitwiseXOR(F.lit(_APART)).alias("k"), "m")
-    return pairs.withColumn("k", F.col("u").bitwiseXOR(F.lit(_APART))).join(least, "k").select("u", "v", F.least("u", "m").alias("m"))
+    least = _dealt(pairs, n, "u").groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").bitwiseXOR(F.lit(_APART)).alias("k"), "m")
+    apart = pairs.withColumn("k", F.col("u").bitwiseXOR(F.lit(_APART)))
+    return _dealt(apart, n, "k").join(_dealt(least, n, "k"), "k").select("u", "v", F.least("u", "m").alias("m"))
 
 
 def connected_components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -40,11 +50,12 @@ def connected_components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
     for _ in range(max_rounds):
         if not before[0]:
             break
+        n = max(1, -(-before[0] // TASK_LINKS)) if before[0] <= SMALL_LINKS else None
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _neighbour_min(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        near = _neighbour_min(large)
-        small = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(near.select("u", F.col("m").alias("v"))).distinct()
-        edges = materialize(small, "links")
+        large = _dealt(_neighbour_min(both, n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), n, "u", "v").distinct()
+        near = _neighbour_min(large, n)
+        small = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(near.select("u", F.col("m").alias("v")))
+        edges = materialize(_dealt(small.select("u", "v"), n, "u", "v").distinct(), "links")
         after = sign(edges)
         if after == before:
             break

@@ -347,6 +347,17 @@ def _other_pairs(buckets: DataFrame, nodes: DataFrame, groups: DataFrame, radius
     return dealt.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long")
 
 
+def _merged(groups: DataFrame, more: DataFrame) -> DataFrame:
+    """The groups (node, component) that further links (a, b) make: components of components, over those links alone."""
+    for end in ("a", "b"):
+        of = groups.select(F.col("node").alias(end), F.col("component").alias("top"))
+        more = more.join(of, end, "left").withColumn(end, F.coalesce("top", end)).drop("top")
+    tops = materialize(connected_components(more.select("a", "b")), "tops")
+    old = groups.join(tops.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    new = tops.join(groups.select("node"), "node", "left_anti").select("node", "component")
+    return materialize(old.unionByName(new), "groups")
+
+
 def _labelled(docs: DataFrame, key: str, text: str, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame, list[str]]:
     """The numbered rows, (copy, component, first row by key, smallest key) of every copy, and the old names."""
     if similarity < 0.8:
@@ -366,7 +377,7 @@ def _labelled(docs: DataFrame, key: str, text: str, shingle: int, similarity: fl
     if not rest.isEmpty():
         more = _alike(rest, texts, shingle, similarity)
         if not more.isEmpty():
-            groups = materialize(connected_components(links.unionAll(more)), "groups")
+            groups = _merged(groups, more)
     of = nodes.join(groups, "node", "left").select("copy", "least", F.coalesce("component", "node").alias("component"))
     return rows, materialize(of, "labelled"), names
 
