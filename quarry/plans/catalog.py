@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MODULES = ("retrieval", "text", "conversation", "events", "search", "learning", "ingest", "streams")
+MODULES = ("retrieval", "text", "conversation", "events", "search", "learning", "ingest", "streams", "records")
 
 
 def _entries() -> dict:

@@ -169,14 +169,6 @@ def mock_embed(spark, sf_dir):
     return d.select("doc_id", F.round(F.col("v")[0], 6).alias("first"), F.round(F.array_max("v"), 6).alias("largest"))
 
 
-def hash_embed(spark, sf_dir):
-    """Signed hash projection of the distinct words on 32 slots; XXH64 stands in for a hash that Spark lacks."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("w")).where("w <> ''")
-    h = F.xxhash64("w")
-    d = d.select("doc_id", F.pmod(h, F.lit(32)).alias("slot"), F.when(h < 0, -1).otherwise(1).alias("sign")).groupBy("doc_id", "slot").agg(F.sum("sign").alias("value"))
-    return d.where("value <> 0")
-
-
 QUERIES = {
     "grep_files": (grep_files, f"SELECT DISTINCT doc_id FROM {_LINES} WHERE regexp_matches(line, '{PATTERN}')"),
     "grep_content": (grep_content, f"""
@@ -211,5 +203,4 @@ QUERIES = {
         b AS (SELECT doc_id, [('0x' || x[2 * i - 1:2 * i])::INTEGER for i in range(1, n + 1)] AS bs FROM h),
         v AS (SELECT doc_id, [coalesce(list_sum([bs[i] / 255.0 for i in range(k, len(bs) + 1, 16)]), 0) for k in range(1, 17)] AS v FROM b)
         SELECT doc_id, round(v[1] / sqrt(list_inner_product(v, v)), 6) AS first, round(list_max(v) / sqrt(list_inner_product(v, v)), 6) AS largest FROM v"""),
-    "hash_embed": (hash_embed, None),
 }
