@@ -19,8 +19,9 @@ from quarry.llm.common import materialize
 
 #: Rows that the graph and the classifier are fitted on, at most.
 SAMPLE = 8_192
-#: Vectors that a part of the sample has, and parts, at most.
+#: Vectors that a part of the sample has, and parts, at most; a sample below two such parts is cut into parts of SMALL_PART.
 PART_ROWS = 512
+SMALL_PART = 100
 MAX_PARTS = 64
 NEIGHBOURS = 20
 #: Queries are routed to as many parts as find this share of the sample's own neighbours.
@@ -123,8 +124,8 @@ class Index:
 
     def __init__(self, sample: np.ndarray, k: int = NEIGHBOURS, target_recall: float = TARGET_RECALL, seed: int = 0) -> None:
         n = len(sample)
-        self.n_parts = int(min(MAX_PARTS, max(1, n // PART_ROWS)))
-        self.router, self.probes = None, 1
+        self.n_parts = int(min(MAX_PARTS, n // PART_ROWS)) if n >= 2 * PART_ROWS else max(1, n // SMALL_PART)
+        self.router, self.probes, k = None, 1, min(k, n - 1)
         if self.n_parts == 1:
             return
         near = np.empty((n, k), np.int64)

@@ -210,6 +210,22 @@ def test_nearest(spark, sf):
     assert ann.nearest(v.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_routing():
+    """Vectors that the index was not fitted on: with several parts and fewer probes, nine tenths of their neighbours lie in the parts they try."""
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((30, 16)) * 2
+    x = centres[rng.integers(0, 30, 6000)] + rng.standard_normal((6000, 16)) * 0.4
+    for n, parts in ((150, 1), (500, 5), (3000, 5)):
+        index = ann.Index(x[:n], 20)
+        assert index.n_parts == parts and index.probes <= parts
+        own, tried = index.parts(x)[:, 0], index.parts(x[-300:])
+        s = x[-300:] @ x.T
+        s[np.arange(300), np.arange(5700, 6000)] = -np.inf
+        near = np.argsort(-s, axis=1)[:, :20]
+        assert np.mean([(np.isin(own[b], t)).mean() for b, t in zip(near, tried)]) >= 0.9
+        assert n < 3000 or index.probes < parts
+
+
 def test_balanced_parts():
     rng = np.random.default_rng(0)
     graph = np.concatenate([rng.integers(0, 50, (50, 5)), rng.integers(50, 100, (50, 5))])
