@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import chunk_chars, chunk_lines, import_files, text_lines
 from quarry.functions.vectors import cosine, letter_shares
+from quarry.operators import frozen
 from quarry.operators import index as X
 from quarry.operators import ingest as I
 from quarry.operators import ledger
@@ -233,11 +234,9 @@ def pack_budget(spark, sf_dir):
 
 
 def frozen_retrieval(spark, sf_dir):
-    """Candidates in order, reranked by that order, packed to a budget of 4000 tokens."""
-    u = candidates_union(spark, sf_dir)
-    u = u.withColumn("rank", F.row_number().over(W.orderBy("source_rank", "pos", "chunk"))).where("rank <= 30")
-    c = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk"), "text", F.concat_ws("/", "source", "doc_id").alias("header")).join(F.broadcast(u), "chunk").withColumn("query", F.lit(1))
-    return R.pack_budget(c, 4000).select("chunk", "rank", F.col("tokens").cast("long").alias("tokens"))
+    """Every benchmark item's context: nearest chunks, keywords' files and errors' files reranked by shared words, packed, with the second pass."""
+    files, index, chunks, tasks = _indexed(spark, sf_dir)
+    return frozen.frozen_retrieval(index, chunks, tasks, files, letter_shares).select("query", "rank", "chunk", "tokens", "second")
 
 
 def baseline_agent(spark, sf_dir):
@@ -309,6 +308,35 @@ two AS (SELECT query, chunk, min({{'source': source, 'keyword': keyword, 'place'
 both_rounds AS (SELECT query, chunk, 1 AS round, 1 AS source, keyword, place FROM one UNION ALL SELECT query, chunk, 2, best.source, best.keyword, best.place FROM two)"""
 
 
+def _shares_sql(text) -> str:
+    return "[" + ", ".join(f"(length({text}) - length(replace({text}, '{c}', ''))) / greatest(length({text}), 1)" for c in "abcdefghijklmnopqrstuvwxyz") + "]::DOUBLE[]"
+
+
+def _pack_sql(found: str) -> str:
+    """The 30 best of candidates (query, chunk, place) by shared words, packed to 8,192 tokens: (query, rank, chunk, path, tokens)."""
+    words = "list_distinct(string_split_regex(lower({0}), '[^a-z]+'))"
+    a, b = words.format("t.text"), words.format("c.text")
+    return f"""(
+  SELECT * FROM (SELECT query, rank, chunk, path, sum(length('# ' || path) // 4 + 1 + length(text) // 4 + 1) OVER (PARTITION BY query ORDER BY rank) AS tokens FROM (
+    SELECT *, row_number() OVER (PARTITION BY query, path, md5(text) ORDER BY rank) AS n FROM (
+      SELECT f.query, f.chunk, c.path, c.text, row_number() OVER (PARTITION BY f.query ORDER BY round(len(list_intersect({a}, {b})) / len(list_distinct({a} || {b})), 9) DESC, place, f.chunk) AS rank
+      FROM {found} f JOIN chunks c ON c.chunk = f.chunk JOIN task t ON t.query = f.query) WHERE rank <= 30) WHERE n = 1) WHERE tokens <= 8192)"""
+
+
+#: After _two_rounds_ctes: the candidates as found, the first packing as pack1, tasks whose keywords' files it misses as thin, the second as pack2.
+_PACKED = f"""near AS (
+  SELECT query, chunk, row_number() OVER (PARTITION BY query ORDER BY s DESC, chunk) AS place FROM (
+    SELECT query, chunk, round(list_cosine_similarity(q, v), 9) AS s FROM (SELECT chunk, {_shares_sql("text")} AS v FROM chunks) c, (SELECT query, {_shares_sql("text")} AS q FROM task) t WHERE list_sum(v) > 0 AND list_sum(q) > 0) WHERE s > 0 QUALIFY place <= 200),
+union_ AS (SELECT query, chunk, min({{'source': source, 'a': a, 'b': b}}) AS s FROM (SELECT query, chunk, 0 AS source, 0 AS a, place AS b FROM near UNION ALL SELECT query, chunk, 1, keyword, place FROM one) GROUP BY query, chunk),
+found AS (SELECT query, chunk, row_number() OVER (PARTITION BY query ORDER BY s, chunk) AS place FROM union_),
+pack1 AS {_pack_sql("found")},
+grepped AS (SELECT DISTINCT k.query, g.path FROM k1 k JOIN (SELECT keyword, path, row_number() OVER (PARTITION BY keyword ORDER BY path) AS place FROM (SELECT DISTINCT keyword FROM k1) w JOIN files f ON contains(f.text, w.keyword) QUALIFY place <= 5) g ON g.keyword = k.keyword),
+thin AS (SELECT g.query FROM grepped g LEFT JOIN (SELECT DISTINCT query, path FROM pack1) p ON p.query = g.query AND p.path = g.path WHERE g.query IN (SELECT query FROM found) GROUP BY g.query HAVING count(p.path) / count(*) < 0.3),
+missed AS (SELECT g.query, c.chunk FROM grepped g JOIN thin t ON t.query = g.query JOIN chunks c ON c.path = g.path WHERE (g.query, g.path) NOT IN (SELECT (query, path) FROM pack1)),
+again AS (SELECT f.query, f.chunk, f.place FROM found f JOIN thin t ON t.query = f.query UNION ALL SELECT query, chunk, 1000000 + row_number() OVER (PARTITION BY query ORDER BY chunk) FROM missed),
+pack2 AS {_pack_sql("again")}"""
+
+
 _UNION = f"(SELECT chunk, arg_min(source_rank, source_rank * 10000000 + pos) AS source_rank, arg_min(pos, source_rank * 10000000 + pos) AS pos FROM (SELECT *, 0 AS source_rank FROM {_NEAREST} UNION ALL SELECT *, 1 FROM {_keyword_sql(_QUERY[0])} UNION ALL SELECT *, 2 FROM {_keyword_sql(_QUERY[1])}) GROUP BY chunk)"
 _COST = "length(header) // 4 + 1 + length(text) // 4 + 1"
 
@@ -341,8 +369,8 @@ QUERIES = {
         SELECT query, rank, tokens::BIGINT AS tokens FROM (SELECT query, rank, sum({_COST}) OVER (PARTITION BY query ORDER BY rank) AS tokens FROM (
           SELECT *, row_number() OVER (PARTITION BY query, header, md5(text) ORDER BY rank) AS n FROM (SELECT source AS query, doc_id AS rank, text, '# ' || source AS header FROM documents)) WHERE n = 1) WHERE tokens <= 1500"""),
     "frozen_retrieval": (frozen_retrieval, f"""
-        WITH u AS (SELECT chunk, row_number() OVER (ORDER BY source_rank, pos, chunk) AS rank FROM {_UNION}), c AS (SELECT chunk, rank, text, source || '/' || doc_id AS header FROM documents JOIN u ON doc_id = chunk WHERE rank <= 30)
-        SELECT chunk, rank, tokens::BIGINT AS tokens FROM (SELECT chunk, rank, sum({_COST}) OVER (ORDER BY rank) AS tokens FROM c) WHERE tokens <= 4000"""),
+        WITH {_two_rounds_ctes()}, {_PACKED}
+        SELECT query, rank, chunk, tokens::BIGINT AS tokens, false AS second FROM pack1 WHERE query NOT IN (SELECT query FROM thin) UNION ALL SELECT query, rank, chunk, tokens::BIGINT, true FROM pack2"""),
     "baseline_agent": (baseline_agent, None),
     "coverage_gap": (coverage_gap, "SELECT doc_id, 'missing' AS what FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'repeated' FROM labels GROUP BY doc_id HAVING count(*) > 1"),
     "jaccard": (jaccard, """
