@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import graph as G
 from quarry.operators import learning as L
+from quarry.operators.common import written
 from quarry.plans.common import table
 
 
@@ -116,24 +117,42 @@ def metric_summary(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(F.avg(v), 6).alias("mean"), F.count(v).alias("n"))
 
 
-def _runs(spark, sf_dir):
-    """A query a source: the documents ranked by length are retrieved, those of quality 1 are golden."""
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality")), "doc_id", "left")
-    return d.groupBy("source").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n_chars")).alias("l"), "doc_id"))), lambda s: s["doc_id"]).alias("retrieved"), F.collect_set(F.when(F.col("quality") == 1, F.col("doc_id"))).alias("golden"))
+def _retrieved(spark, sf_dir):
+    """A query a source: its documents; those of quality 1 are golden."""
+    best = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars").join(best, "doc_id", "left")
+    return d.select("source", "doc_id", "n_chars", F.coalesce(F.col("quality") == 1, F.lit(False)).cast("int").alias("golden"))
 
 
-_RUNS = """(SELECT source, list(d.doc_id ORDER BY n_chars DESC, d.doc_id) AS retrieved, list(d.doc_id) FILTER (quality = 1) AS golden FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l ON d.doc_id = l.doc_id GROUP BY source)"""
+def _golden_at(ranked, order, k=5):
+    """(source, hits, n): of the first k by an order how many are golden, and how many there are; no task holds more of a source than it must rank."""
+    w = W.partitionBy("source").orderBy(*order)
+    return ranked.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).groupBy("source").agg(F.sum("golden").alias("hits"), F.count("*").alias("n"))
+
+
+def _recall(ranked, order, k=5):
+    golden = ranked.groupBy("source").agg(F.sum("golden").alias("all"))
+    return golden.join(_golden_at(ranked, order, k), "source").select("source", F.round(F.when(F.col("all") > 0, F.col("hits") / F.col("all")).otherwise(0.0), 6).alias("recall"))
+
+
+_BY_LENGTH, _FROM_END, _BY_ID = ("-n_chars", "doc_id"), ("n_chars", "-doc_id"), ("doc_id",)
+
+
+def _order(names):
+    return [F.desc(n[1:]) if n.startswith("-") else F.asc(n) for n in names]
+
+
+_RUNS = """(SELECT source, list(d.doc_id ORDER BY n_chars DESC, d.doc_id) AS retrieved, list(d.doc_id ORDER BY d.doc_id) AS plain, list(d.doc_id) FILTER (quality = 1) AS golden FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l ON d.doc_id = l.doc_id GROUP BY source)"""
 
 
 def recall_at_k(spark, sf_dir):
-    hits = F.size(F.array_intersect(F.slice(F.array_distinct("retrieved"), 1, 5), F.col("golden")))
-    return _runs(spark, sf_dir).select("source", F.round(F.when(F.size("golden") > 0, hits / F.size("golden")).otherwise(0.0), 6).alias("recall"))
+    return _recall(_retrieved(spark, sf_dir), _order(_BY_LENGTH))
 
 
 def coverage(spark, sf_dir):
     """The share of the last five retrieved that is golden."""
-    last = F.slice("retrieved", -5, 5)
-    return _runs(spark, sf_dir).where(F.size("retrieved") >= 5).select("source", F.round(F.size(F.filter(last, lambda x: F.array_contains("golden", x))) / 5, 6).alias("coverage"))
+    last = _golden_at(_retrieved(spark, sf_dir), _order(_FROM_END))
+    return last.where("n = 5").select("source", F.round(F.col("hits") / 5, 6).alias("coverage"))
 
 
 def step_reduction(spark, sf_dir):
@@ -161,9 +180,16 @@ def bootstrap_ci(spark, sf_dir, resamples: int = 1000):
 
 
 def eval_run(spark, sf_dir):
-    """Recall over all sources but synthetic ones (here src0), summed up."""
-    r = recall_at_k(spark, sf_dir).where("source <> 'src0'")
-    return r.agg(F.round(F.avg("recall"), 6).alias("mean"), F.round(F.median("recall"), 6).alias("median"), F.round(F.stddev_pop("recall"), 6).alias("std"), F.count("*").alias("n"))
+    """The ranking by length against that by number, over all sources but synthetic ones (here src0): a row a metric with its statistics, and the interval of the paired change in recall."""
+    ranked = _retrieved(spark, sf_dir).where("source <> 'src0'")
+    one = _recall(ranked, _order(_BY_LENGTH))
+    two = _recall(ranked, _order(_BY_ID)).withColumnRenamed("recall", "plain")
+    last = _golden_at(ranked, _order(_FROM_END)).where("n = 5").select("source", F.round(F.col("hits") / 5, 6).alias("coverage"))
+    runs = written(one.join(two, "source").join(last, "source", "left").withColumn("change", F.round(F.col("recall") - F.col("plain"), 6)), "runs")
+    interval = L.bootstrap_interval(runs.select("source", "change"), "source", "change").withColumn("metric", F.lit("change"))  # one row
+    long = runs.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("x")) for m in ("recall", "coverage", "change")])))
+    stats = long.groupBy("metric").agg(F.round(F.avg("x"), 6).alias("mean"), F.round(F.median("x"), 6).alias("median"), F.round(F.stddev_pop("x"), 6).alias("std"), F.count("x").alias("n"))
+    return stats.join(F.broadcast(interval), "metric", "left").select("metric", "mean", "median", "std", "n", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 #: Sources whose documents are for evaluation.
@@ -295,7 +321,13 @@ QUERIES = {
     "bootstrap_ci": (bootstrap_ci, f"""
         WITH t AS (SELECT row_number() OVER (ORDER BY user_id) - 1 AS i, delta, count(*) OVER () AS n FROM {_TWO}), d AS (SELECT r, ('0x' || substr(md5(r || ',' || j), 1, 15))::BIGINT % n AS i FROM (SELECT unnest(range(1000)) AS r), (SELECT i AS j, n FROM t)),
         m AS (SELECT avg(delta) AS m FROM d JOIN t ON d.i = t.i GROUP BY r), k AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS k FROM m) SELECT round(max(m) FILTER (k = 25), 6) AS low, round(max(m) FILTER (k = 975), 6) AS high FROM k"""),
-    "eval_run": (eval_run, f"SELECT round(avg(r), 6) AS mean, round(median(r), 6) AS median, round(stddev_pop(r), 6) AS std, count(*) AS n FROM (SELECT round(CASE WHEN len(golden) > 0 THEN len(list_intersect(retrieved[1:5], golden)) / len(golden) ELSE 0 END, 6) AS r FROM {_RUNS} WHERE source <> 'src0')"),
+    "eval_run": (eval_run, f"""
+        WITH r AS (SELECT source, round(CASE WHEN len(golden) > 0 THEN len(list_intersect(retrieved[1:5], golden)) / len(golden) ELSE 0 END, 6) AS recall, round(CASE WHEN len(golden) > 0 THEN len(list_intersect(plain[1:5], golden)) / len(golden) ELSE 0 END, 6) AS other,
+          CASE WHEN len(retrieved) >= 5 THEN round(len(list_filter(retrieved[-5:], lambda x: coalesce(list_contains(golden, x), false))) / 5, 6) END AS coverage FROM {_RUNS} WHERE source <> 'src0'),
+        x AS (SELECT source, 'recall' AS metric, recall AS x FROM r UNION ALL SELECT source, 'coverage', coverage FROM r UNION ALL SELECT source, 'change', round(recall - other, 6) FROM r),
+        t AS (SELECT row_number() OVER (ORDER BY source) - 1 AS i, x AS delta, count(*) OVER () AS n FROM x WHERE metric = 'change'), d AS (SELECT r, ('0x' || substr(md5(r || ',' || j), 1, 15))::BIGINT % n AS i FROM (SELECT unnest(range(1000)) AS r), (SELECT i AS j, n FROM t)),
+        m AS (SELECT avg(delta) AS m FROM d JOIN t ON d.i = t.i GROUP BY r), k AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS k FROM m), c AS (SELECT max(m) FILTER (k = 25) AS low, max(m) FILTER (k = 975) AS high FROM k)
+        SELECT metric, round(avg(x), 6) AS mean, round(median(x), 6) AS median, round(stddev_pop(x), 6) AS std, count(x) AS n, CASE WHEN metric = 'change' THEN round(any_value(low), 6) END AS low, CASE WHEN metric = 'change' THEN round(any_value(high), 6) END AS high FROM x, c GROUP BY metric"""),
     "disjoint_split": (disjoint_split, f"SELECT doc_id, source FROM documents WHERE source NOT IN {EVALUATION}"),
     "ppr": (ppr, _PPR),
     "ppr_seeds": (ppr_seeds, f"SELECT node, round(score, 6) AS score FROM ({_SEEDS})"),
