@@ -30,6 +30,8 @@ BANDS = 28
 ROWS = 6
 #: Members of a bucket that one task holds against each other, at most; larger buckets are dealt into such blocks.
 BLOCK = 4096
+#: Times that members outside their bucket's commonest group are held against two of such groups, before all pairs are compared.
+ROUNDS = 2
 #: Buckets of at most so many members are compared side by side, many at once.
 SMALL = 64
 
@@ -254,12 +256,8 @@ def _alike(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float)
     return materialize(pairs.select("a", "b", "text_a", "text_b").mapInArrow(same, "a long, b long"), "alike")
 
 
-def _first_pairs(buckets: DataFrame, nodes: DataFrame, radius: int) -> DataFrame:
-    """Every member against two of its bucket, so a large group of near copies takes links in proportion to its size; those within the radius."""
-    ends = buckets.groupBy("bucket").agg(F.min("node").alias("first"), F.min(F.struct(F.xxhash64("bucket", "node").alias("h"), "node"))["node"].alias("any"), F.count("*").alias("n")).where("n > 1")
-    ends = materialize(ends.select("bucket", "first", "any"), "ends")
-    pairs = buckets.join(ends, "bucket").select("node", F.explode(F.array("first", "any")).alias("other")).where("node <> other")
-    pairs = materialize(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "pairs")
+def _close(pairs: DataFrame, nodes: DataFrame, radius: int) -> DataFrame:
+    """The pairs (a, b) whose prints are within the radius."""
     for end in ("a", "b"):
         pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("print").alias(f"print_{end}")), end)
 
@@ -272,6 +270,28 @@ def _first_pairs(buckets: DataFrame, nodes: DataFrame, radius: int) -> DataFrame
     return materialize(pairs.select("a", "b", "print_a", "print_b").mapInArrow(near, "a long, b long"), "close")
 
 
+def _pairs(node_and_others: DataFrame) -> DataFrame:
+    """Rows (node, x, y) as distinct pairs a < b of the node and each of the others."""
+    pairs = node_and_others.select("node", F.explode(F.array("x", "y")).alias("other")).where("other is not null and node <> other")
+    return materialize(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "pairs")
+
+
+def _first_pairs(buckets: DataFrame) -> DataFrame:
+    """Every member with the smallest node that it shares a bucket with, and with that of its largest bucket: two pairs a node, however large its buckets are."""
+    ends = materialize(buckets.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1"), "ends")
+    return _pairs(buckets.join(ends, "bucket").groupBy("node").agg(F.min("first").alias("x"), F.max_by("first", F.struct("n", "bucket")).alias("y")))
+
+
+def _next_pairs(buckets: DataFrame, groups: DataFrame) -> DataFrame:
+    """Members outside their bucket's commonest group with two members of such groups: two pairs a node again, of those alone."""
+    held = materialize(buckets.join(groups, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")), "held")
+    kinds = held.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"].alias("one"))
+    common = kinds.groupBy("bucket").agg(F.max(F.struct("n", "component", "one")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
+    common = materialize(common.select("bucket", F.col("most.component").alias("common"), F.col("most.n").alias("n"), F.col("most.one").alias("one")), "common")
+    strays = held.join(common, "bucket").where("component <> common")
+    return _pairs(strays.groupBy("node").agg(F.max_by("one", F.struct("n", "bucket")).alias("x"), F.min_by("one", F.struct("n", "bucket")).alias("y")))
+
+
 def _other_pairs(buckets: DataFrame, nodes: DataFrame, groups: DataFrame, radius: int) -> DataFrame:
     """Pairs of a bucket that lie in different groups so far and are within the radius.
 
@@ -371,8 +391,16 @@ def _labelled(docs: DataFrame, key: str, text: str, shingle: int, similarity: fl
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     buckets = materialize(buckets.join(materialize(shared, "shared"), "bucket"), "buckets")
     texts = rows.select("row", "text")
-    links = _alike(_first_pairs(buckets, nodes, radius), texts, shingle, similarity)
+    links = _alike(_close(_first_pairs(buckets), nodes, radius), texts, shingle, similarity)
     groups = materialize(connected_components(links), "groups")
+    for _ in range(ROUNDS):
+        more = _next_pairs(buckets, groups)
+        if more.isEmpty():
+            break
+        more = _alike(_close(more, nodes, radius), texts, shingle, similarity)
+        if more.isEmpty():
+            break
+        groups = _merged(groups, more)
     rest = materialize(_other_pairs(buckets, nodes, groups, radius).distinct(), "rest")
     if not rest.isEmpty():
         more = _alike(rest, texts, shingle, similarity)
@@ -386,8 +414,9 @@ def near_copy_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     """Every row and its group: (key, component_id), the smallest key reachable over pairs of at least the Jaccard similarity.
 
     Equal word sequences are one node. Nodes that agree in a band of MinHash values meet in
-    a bucket. First each is held against two members of its bucket, so a large group of near
-    copies takes links in proportion to its size; then, in buckets that still hold several
+    a bucket. First each is held against two nodes of its buckets, so a large group of near
+    copies takes links in proportion to its size; then, ROUNDS times, those outside their bucket's
+    commonest group against two of such groups; then, in buckets that still hold several
     groups, all pairs of different groups are compared, bit-sliced. No pair that met goes
     unexamined unless it is linked already, and no link rests on an estimate: shingle sets decide.
 
