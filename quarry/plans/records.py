@@ -60,8 +60,8 @@ def held_since(spark, sf_dir):
 
 
 def text_fnv(spark, sf_dir):
-    """FNV-1a of every text."""
-    return table(spark, sf_dir, "documents").select("doc_id", C.hex64(C.fnv1a(F.col("text"))).alias("fnv"))
+    """FNV-1a of every turn's text."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", C.hex64(C.fnv1a(F.col("text"))).alias("fnv"))
 
 
 def hash_embed(spark, sf_dir):
@@ -116,7 +116,7 @@ QUERIES = {
         WITH l AS (SELECT user_id, ts, event_id, event_type <> 'purchase' AS holds, max(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id) AS p FROM events),
         s AS (SELECT user_id, min(ts) AS since FROM l WHERE p IS NULL OR event_id > p GROUP BY user_id)
         SELECT user_id AS key, epoch(date_trunc('second', (SELECT max(ts) FROM events)))::BIGINT - epoch(date_trunc('second', since))::BIGINT AS held_s, epoch(date_trunc('second', (SELECT max(ts) FROM events)))::BIGINT - epoch(date_trunc('second', since))::BIGINT >= 21600 AS due FROM s"""),
-    "text_fnv": (text_fnv, f"SELECT doc_id, lpad(lower(hex(({_FNV.format('x')})::UBIGINT)), 16, '0') AS fnv FROM (SELECT doc_id, hex(encode(text)) AS x FROM documents)"),
+    "text_fnv": (text_fnv, f"SELECT conv_id, turn, lpad(lower(hex(({_FNV.format('x')})::UBIGINT)), 16, '0') AS fnv FROM (SELECT conv_id, turn, hex(encode(text)) AS x FROM conversations)"),
     "hash_embed": (hash_embed, f"""
         WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')) AS token FROM documents), c AS (SELECT doc_id, token, count(*) AS n FROM t GROUP BY ALL),
         h AS (SELECT token, {_FNV.format("x")} AS h FROM (SELECT DISTINCT token, hex(encode(token)) AS x FROM c)),
