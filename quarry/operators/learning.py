@@ -84,10 +84,12 @@ def bootstrap_interval(rows: DataFrame, key: str, value: str, resamples: int = 1
     rows = rows.where(F.col(value).isNotNull())
     n = rows.agg(F.count("*").alias("n"))  # one row
     blocks = rows.sparkSession.range(resamples).withColumnRenamed("id", "r").crossJoin(F.broadcast(n)).where("n > 0")
-    blocks = blocks.select("r", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(block).cast("long"))).alias("first")).repartition("r", "first")
+    blocks = blocks.select("r", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(block).cast("long"))).alias("first"))
+    blocks = blocks.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "r", "first")  # few small rows of much work: without a number they would meet in one task
     draws = blocks.select("r", "n", F.explode(F.sequence("first", F.least(F.col("first") + block, F.col("n")) - 1)).alias("j"))
     draws = draws.select("r", (F.conv(F.substring(F.md5(F.concat_ws(",", F.col("r").cast("string"), F.col("j").cast("string"))), 1, 15), 16, 10).cast("long") % F.col("n")).alias("i"))
-    means = draws.groupBy("i", "r").count().join(numbered(rows.select(key, value), key), "i").groupBy("r").agg((F.sum(F.col(value) * F.col("count")) / F.sum("count")).alias("m"))
+    # Draws are made from one row, so their size is underrated: the hint keeps them from being broadcast.
+    means = draws.join(numbered(rows.select(key, value), key).hint("shuffle_hash"), "i").groupBy("r").agg(F.avg(value).alias("m"))
     at = means.select("m", (F.row_number().over(W.orderBy("m")) - 1).alias("k"))  # a row per resample
     low, high = int(resamples * (1 - level) / 2 + 1e-9), int(resamples * (1 + level) / 2 + 1e-9)
     return at.agg(F.max(F.when(F.col("k") == low, F.col("m"))).alias("low"), F.max(F.when(F.col("k") == high, F.col("m"))).alias("high"))
