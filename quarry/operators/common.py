@@ -24,3 +24,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a task, about, where an operator must hold or sort a partition.
+TASK_ROWS = 1 << 20
+
+
+def spread(rows: int, spark: SparkSession, each: int = TASK_ROWS) -> int:
+    """Partitions for a number of rows: the session's, or as many more as keep each at about `each` rows."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))

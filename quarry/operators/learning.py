@@ -10,12 +10,14 @@ ETA, ALPHA, BETA = 0.1, 0.5, 1.5
 
 
 def coaccess_pairs(access: DataFrame) -> DataFrame:
-    """Unordered pairs of distinct items of a session, a session's size with each: (session, ok, a, b, n). access: (session, item, ok)."""
-    items = access.select("session", "item", "ok").distinct()
-    n = items.groupBy("session").agg(F.count("*").alias("n"))
-    x, y = items.alias("x"), items.alias("y")
-    j = x.join(y, (F.col("x.session") == F.col("y.session")) & (F.col("x.item") < F.col("y.item")))
-    return j.select(F.col("x.session").alias("session"), F.col("x.ok").alias("ok"), F.col("x.item").alias("a"), F.col("y.item").alias("b")).join(n, "session")
+    """Unordered pairs of distinct items of a session, a session's size with each: (session, ok, a, b, n). access: (session, item, ok).
+
+    A session's distinct items come together once, as an array, and are paired from there.
+    """
+    s = access.where("session is not null").groupBy("session").agg(F.collect_set(F.struct("item", "ok")).alias("items"))
+    x = s.select("session", "items", F.size("items").cast("long").alias("n"), F.explode("items").alias("x"))
+    y = x.select("session", F.col("x.ok").alias("ok"), F.col("x.item").alias("a"), F.explode(F.filter("items", lambda i: i["item"] > F.col("x.item"))["item"]).alias("b"), "n")
+    return y.select("session", "ok", "a", "b", "n")
 
 
 def hebbian_edges(access: DataFrame, eta: float = ETA) -> DataFrame:
