@@ -8,8 +8,14 @@ A term's paths lie in blocks, so a term that every file holds is many rows of bo
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import re
+from array import array
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,21 +24,43 @@ from quarry.functions.expansions import DOMAIN_TERMS, SYNONYMS
 from quarry.operators.common import written
 
 TERM = "[A-Za-z0-9_]+"
+_TERM = re.compile(TERM)
 KEYWORD = "[A-Za-z_][A-Za-z0-9_]+"
-#: Paths of a posting block, about.
+#: Files of a posting block, at most.
 BLOCK = 1024
 GRAM = 3
 
 
+def _segments(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    """Batches (term, block, paths) of batches (path, text): the postings of `block` files at a time."""
+    number = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        for start in range(0, batch.num_rows, block):
+            part = batch.slice(start, block)
+            part = part.take(pc.sort_indices(part.column("path")))
+            paths, held, first = part.column("path"), {}, 0
+            names = paths.to_pylist()
+            for i, text in enumerate(part.column("text").to_pylist()):
+                first = i if names[i] != names[first] else first
+                for term in set(_TERM.findall(text or "")):
+                    at = held.setdefault(term, array("i"))
+                    if not at or at[-1] != first:
+                        at.append(first)
+            ends = np.cumsum([0] + [len(at) for at in held.values()], dtype=np.int32)
+            flat = np.concatenate([np.frombuffer(at, dtype=np.int32) for at in held.values()]) if held else np.array([], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), paths.take(pa.array(flat)))
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(np.full(len(held), number)), lists], ["term", "block", "paths"])
+            number += 1
+
+
 def build_index(files: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Postings of files (path, text): (term, block, paths), paths in order, each once in a term; a term's blocks hold about `block` paths each.
+    """Postings of files (path, text): (term, block, paths), paths in order, each once in a term's block; a block is of `block` files at most.
 
-    A null text or path holds no term. Write the result once, and probe it with `grep_index`.
+    Blocks are made where the files are read, so no postings are shuffled. A null text or path holds no term. Write the
+    result once, and probe it with `grep_index`.
     """
-    held = files.where("path is not null").select("path", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)))).alias("term")).distinct()
-    blocks = held.groupBy("term").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    dealt = held.join(blocks, "term").withColumn("block", F.pmod(F.xxhash64("path"), F.col("blocks")).cast("int"))
-    return dealt.groupBy("term", "block").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    kind = files.schema["path"].dataType.simpleString()
+    return files.where("path is not null").select("path", "text").mapInArrow(lambda batches: _segments(batches, block), f"term string, block long, paths array<{kind}>")
 
 
 def _grams(word: Column) -> Column:
@@ -62,12 +90,13 @@ def grep_index(index: DataFrame, queries: DataFrame, top: int = 5, files: DataFr
     run of those and then held against the texts of `files` (path, text) found; without
     `files`, or without such a run, it matches nothing. An empty keyword matches nothing.
     """
-    found = match_terms(index, queries).join(index, "term").select("keyword", F.explode(F.slice("paths", 1, top)).alias("path")).distinct()
+    # Terms found are written first: as a table of known size they meet the index by a broadcast wherever they are few.
+    found = written(match_terms(index, queries), "terms").join(index, "term").select("keyword", F.explode(F.slice("paths", 1, top)).alias("path")).distinct()
     if files is not None:
         odd = queries.where(~F.col("keyword").rlike(f"^{TERM}$")).select(F.col("keyword").alias("whole")).distinct()
         longest = F.array_max(F.transform(F.regexp_extract_all("whole", F.lit(TERM), F.lit(0)), lambda x: F.struct(F.length(x).alias("n"), x.alias("run"))))
         odd = odd.select("whole", longest["run"].alias("keyword")).where("keyword is not null")
-        held = match_terms(index, odd).join(odd, "keyword").join(index, "term").select("whole", F.explode("paths").alias("path")).distinct()
+        held = written(match_terms(index, odd), "terms").join(odd, "keyword").join(index, "term").select("whole", F.explode("paths").alias("path")).distinct()
         held = held.join(files.select("path", "text"), "path").where(F.contains("text", F.col("whole"))).select(F.col("whole").alias("keyword"), "path")
         found = found.unionByName(held.distinct())
     place = F.row_number().over(W.partitionBy("keyword").orderBy("path"))
