@@ -9,7 +9,9 @@ radius. What stays is decided by the shingle sets themselves.
 
 from __future__ import annotations
 
+import itertools
 import math
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,6 +36,11 @@ BLOCK = 4096
 ROUNDS = 2
 #: Buckets of at most so many members are compared side by side, many at once.
 SMALL = 64
+#: Members whose prints are held against a block at once, so the pairs found at a time are bounded.
+STRIP = 256
+#: Members, and bytes of their texts, that one task holds against as many by their shingle sets.
+TEXTS = 1024
+TEXT_BYTES = 2 << 20
 
 _RNG = np.random.default_rng(SEED)
 _XOR = _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
@@ -209,6 +216,64 @@ def side_by_side(group: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np
     return (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_i, found_j))
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (least, other) that connect what the pairs (a, b) connect: one for each node but the least of each component."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a):]
+    top = np.arange(len(nodes))
+    while len(i):
+        low = np.minimum(top[i], top[j])
+        for end in (top[i], top[j]):
+            np.minimum.at(top, end, low)
+        top = top[top]
+        apart = top[i] != top[j]
+        i, j = i[apart], j[apart]
+    while not np.array_equal(up := top[top], top):
+        top = up
+    other = np.flatnonzero(top != np.arange(len(nodes)))
+    return nodes[top[other]], nodes[other]
+
+
+def block_links(strays: list[tuple], lanes: list[tuple], shingle: int, similarity: float) -> list[tuple[int, int]]:
+    """Links (a, b) that join the groups which any pair of a stray and a lane of the similarity joins, at most one less than groups.
+
+    Both have (node, group, text). Every stray's common shingles with all lanes are counted at once, from the lanes of each shingle.
+    """
+    ids: dict[bytes, int] = {}
+    held, who, size = array("q"), array("q"), []
+    for j, (_, _, text) in enumerate(lanes):
+        s = shingles(text, shingle)
+        held.extend(ids.setdefault(x, len(ids)) for x in s)
+        who.extend(itertools.repeat(j, len(s)))
+        size.append(len(s))
+    held, who, size = np.array(held, np.int64), np.array(who, np.int64), np.array(size, np.int64)
+    order = np.argsort(held, kind="stable")
+    who, first = who[order], np.searchsorted(held[order], np.arange(len(ids) + 1)).tolist()
+    node, group = (np.array([x[i] for x in lanes], np.int64) for i in (0, 1))
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while x in above:
+            x = above[x]
+        return x
+
+    links = []
+    for a, mine, text in strays:
+        s = shingles(text, shingle)
+        found = [who[first[k]:first[k + 1]] for x in s if (k := ids.get(x)) is not None]
+        if not found:
+            continue
+        both = np.bincount(np.concatenate(found), minlength=len(lanes))
+        near = np.flatnonzero((both / (len(s) + size - both) >= similarity) & (group != mine))
+        for other, at in zip(*(x.tolist() for x in np.unique(group[near], return_index=True))):
+            x, y = top(mine), top(other)
+            if x != y:
+                above[max(x, y)] = min(x, y)
+                b = int(node[near[at]])
+                links.append((min(a, b), max(a, b)))
+    return links
+
+
 def _prints(docs: DataFrame, key: str, text: str, shingle: int) -> tuple[DataFrame, list[str]]:
     """The rows numbered, each with copy (equal word sequences have one), and the print and bands of a text with words."""
     rows, names = numbered(docs)
@@ -293,10 +358,11 @@ def _next_pairs(buckets: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _other_pairs(buckets: DataFrame, nodes: DataFrame, groups: DataFrame, radius: int) -> DataFrame:
-    """Pairs of a bucket that lie in different groups so far and are within the radius.
+    """Links (a, b) that connect what the pairs of a bucket connect that lie in different groups so far and are within the radius.
 
     Members outside a bucket's commonest group are held against all its members. Both sides
-    are dealt into blocks, so no task holds more than 2 * BLOCK members, however large a bucket is.
+    are dealt into blocks, so no task holds more than 2 * BLOCK members, however large a bucket is. Of the pairs
+    that it finds a task keeps what connects them, a link a member at most.
     """
     spark = buckets.sparkSession
     held = buckets.join(groups, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
@@ -328,24 +394,26 @@ def _other_pairs(buckets: DataFrame, nodes: DataFrame, groups: DataFrame, radius
             sizes = np.diff(np.r_[starts, len(keys)])
             stray, node, component = t.column(3).to_numpy(), t.column(4).to_numpy(), t.column(5).to_numpy()
             prints = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint8).reshape(-1, BITS // 8)
-            found = []
+            links = np.zeros((2, 0), np.int64)
+
+            def take(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                apart = component[i] != component[j]
+                return np.stack(stars(*(np.r_[old, node[x[apart]]] for old, x in zip(links, (i, j)))))
+
             little = (sizes <= SMALL) & t.column(7).to_numpy()[starts]  # and all its members are lanes here
             small = np.repeat(little, sizes)
             if small.any():
                 at = np.flatnonzero(small & ~stray)
                 i, j = side_by_side(np.cumsum(new)[at], prints[at], radius)
-                found.append((at[i], at[j]))
+                links = take(at[i], at[j])
             for s, n, done_already in zip(starts.tolist(), sizes.tolist(), little.tolist()):
                 if not done_already:
                     mine = np.arange(s, s + n)
                     rows, lanes = mine[stray[mine]], mine[~stray[mine]]
-                    if len(rows):
-                        i, j = across(prints[rows], prints[lanes], radius)
-                        found.append((rows[i], lanes[j]))
-            for i, j in found:
-                apart = component[i] != component[j]
-                a, b = node[i[apart]], node[j[apart]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                    for strip in (rows[x:x + STRIP] for x in range(0, len(rows), STRIP)):
+                        i, j = across(prints[strip], prints[lanes], radius)
+                        links = take(strip[i], lanes[j])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in links], ["a", "b"])
 
         held: pa.Table | None = None
         for batch in batches:
@@ -367,6 +435,48 @@ def _other_pairs(buckets: DataFrame, nodes: DataFrame, groups: DataFrame, radius
     return dealt.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long")
 
 
+def _rest_links(near: DataFrame, groups: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) of the similarity that join the groups of what the links `near` connect, whatever their prints: shingle sets decide.
+
+    In each component of `near` members outside its commonest group are held against all, both sides in blocks by number and
+    size of text. A text comes to its blocks once, not once a pair, and a block gives fewer links than it has members.
+    """
+    held = connected_components(near).select("node", F.col("component").alias("near")).join(groups, "node", "left").select("near", "node", F.coalesce("component", "node").alias("component"))
+    held = materialize(held.join(texts.select(F.col("row").alias("node"), "text"), "node"), "texts")
+    size = held.groupBy("near", "component").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    size = size.groupBy("near").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "component", "bytes")).alias("most"))
+
+    def blocks(n, size):
+        return F.greatest(F.ceil(n / TEXTS), F.ceil(size / TEXT_BYTES), F.lit(1)).cast("int")
+
+    most = F.col("most")
+    size = size.select("near", most["component"].alias("common"), blocks(F.col("n"), F.col("bytes")).alias("n_lanes"), blocks(F.col("n") - most["n"], F.col("bytes") - most["bytes"]).alias("n_rows"))
+    held, h = held.join(materialize(size, "sizes"), "near"), F.xxhash64("node")
+    member = ["node", "component", "text"]
+
+    def block(of, n):
+        return F.pmod(h, F.col(n)).cast("int").alias(of)
+
+    def every(of, n):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(of)
+
+    lanes = held.select("near", every("row_block", "n_rows"), block("lane_block", "n_lanes"), F.lit(False).alias("stray"), *member)
+    strays = held.where("component <> common").select("near", block("row_block", "n_rows"), every("lane_block", "n_lanes"), F.lit(True).alias("stray"), *member)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members = (x for batch in batches for x in zip(*(c.to_pylist() for c in batch.columns)))
+        for _, block in itertools.groupby(members, key=lambda x: x[:3]):
+            sides: tuple[list, list] = ([], [])
+            for x in block:
+                sides[x[3]].append(x[4:])
+            if links := block_links(sides[True], sides[False], shingle, similarity):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], ["a", "b"])
+
+    n = int(near.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["near", "row_block", "lane_block"]
+    return materialize(lanes.unionByName(strays).repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long"), "links")
+
+
 def _merged(groups: DataFrame, more: DataFrame) -> DataFrame:
     """The groups (node, component) that further links (a, b) make: components of components, over those links alone."""
     for end in ("a", "b"):
@@ -403,7 +513,7 @@ def _labelled(docs: DataFrame, key: str, text: str, shingle: int, similarity: fl
         groups = _merged(groups, more)
     rest = materialize(_other_pairs(buckets, nodes, groups, radius).distinct(), "rest")
     if not rest.isEmpty():
-        more = _alike(rest, texts, shingle, similarity)
+        more = _rest_links(rest, groups, texts, shingle, similarity)
         if not more.isEmpty():
             groups = _merged(groups, more)
     of = nodes.join(groups, "node", "left").select("copy", "least", F.coalesce("component", "node").alias("component"))
@@ -417,7 +527,8 @@ def near_copy_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     a bucket. First each is held against two nodes of its buckets, so a large group of near
     copies takes links in proportion to its size; then, ROUNDS times, those outside their bucket's
     commonest group against two of such groups; then, in buckets that still hold several
-    groups, all pairs of different groups are compared, bit-sliced. No pair that met goes
+    groups, all pairs of different groups are compared, bit-sliced, and what the close ones connect is
+    held against each other by shingle sets, in blocks. No pair that met goes
     unexamined unless it is linked already, and no link rests on an estimate: shingle sets decide.
 
     Null and empty texts are copies of each other. Rows that repeat a key are rows of their own;
