@@ -47,7 +47,7 @@ def chunk_starts(text: Column, size: int = CHUNK_CHARS, overlap: int = CHUNK_OVE
 
 def chunk_chars(text: Column, size: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP) -> Column:
     """Windows of characters without the blank ones."""
-    return F.filter(F.transform(chunk_starts(text, size, overlap), lambda s: F.substring(text, s + 1, F.lit(size))), lambda w: F.trim(F.translate(w, "\n\t\r", "   ")) != "")
+    return F.filter(F.transform(chunk_starts(text, size, overlap), lambda s: F.substring(text, s + 1, F.lit(size))), lambda w: F.btrim(w, F.lit(" \n\t\r")) != "")
 
 
 def text_lines(text: Column) -> Column:

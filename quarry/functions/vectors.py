@@ -30,4 +30,5 @@ def l2_normalize(a: Column, floor: float = 1e-12) -> Column:
 def letter_shares(text: Column) -> Column:
     """An embedder without a model: the shares of a to z among a text's characters; an empty text has zeros."""
     n = F.greatest(F.length(text), F.lit(1))
-    return F.transform(F.array(*map(F.lit, "abcdefghijklmnopqrstuvwxyz")), lambda c: (F.length(text) - F.length(F.replace(text, c, F.lit("")))) / n)
+    size = F.octet_length(text)  # a letter is a byte
+    return F.array(*[(size - F.octet_length(F.replace(text, F.lit(c), F.lit("")))) / n for c in "abcdefghijklmnopqrstuvwxyz"])

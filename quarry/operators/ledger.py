@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import CHUNK_CHARS, CHUNK_OVERLAP, chunk_chars
+from quarry.operators.common import written
 from quarry.operators.ingest import changed_files, stale_files
 
 FILES = "path string, content_hash string, size_bytes long, mtime_ms long, chunks long"
@@ -46,9 +47,12 @@ def _read(spark: SparkSession, root: str, kind: str, schema: str, at: list[int])
     return spark.read.schema(f"{schema}, run long").option("basePath", root).parquet(*[f"{root}/run={n}/{kind}" for n in at])
 
 
-def _present(spark: SparkSession, root: str, kind: str, schema: str) -> DataFrame:
+def _present(spark: SparkSession, root: str, kind: str, schema: str, *columns: str | Column) -> DataFrame:
     at = runs(spark, root)
-    rows, gone = _read(spark, root, kind, schema, at), _read(spark, root, "gone", "path string", at)
+    rows = _read(spark, root, kind, schema, at)
+    if columns:
+        rows = rows.select("path", *columns, "run")
+    gone = _read(spark, root, "gone", "path string", at)
     last = gone.groupBy("path").agg(F.max("run").alias("gone"))
     return rows.join(last, "path", "left").where("gone is null or run >= gone").drop("gone")
 
@@ -58,9 +62,9 @@ def files(spark: SparkSession, root: str) -> DataFrame:
     return _present(spark, root, "files", FILES)
 
 
-def chunks(spark: SparkSession, root: str) -> DataFrame:
-    """(path, ordinal, text, embedding, run) of all chunks that the index holds."""
-    return _present(spark, root, "chunks", CHUNKS)
+def chunks(spark: SparkSession, root: str, *columns: str | Column) -> DataFrame:
+    """(path, ordinal, text, embedding, run) of all chunks that the index holds; or path, columns made of these and run, so that no more than those is shuffled."""
+    return _present(spark, root, "chunks", CHUNKS, *columns)
 
 
 def stats(spark: SparkSession, root: str) -> DataFrame:
@@ -81,20 +85,20 @@ def ingest(scan: DataFrame, root: str, embed: Callable[[Column], Column] | None
     spark = scan.sparkSession
     cols = ["path", "content_hash", "size_bytes", "mtime_ms"]
     best = scan.where("path is not null").groupBy("path").agg(F.max(F.struct("mtime_ms", "content_hash", "size_bytes", F.md5("text").alias("digest"))).alias("b"))
-    seen = best.select("path", "b.content_hash", "b.size_bytes", "b.mtime_ms", "b.digest")
+    seen = written(best.select("path", "b.content_hash", "b.size_bytes", "b.mtime_ms", "b.digest"), "seen")
     done = runs(spark, root)
     held = files(spark, root)
     number = (done[-1] if done else 0) + 1
     at = f"{root}/run={number}"
-    fresh = changed_files(seen, held)
-    text = scan.select(*cols, "text").alias("s").join(fresh.alias("f"), "path")
+    fresh = written(changed_files(seen, held), "changed")
+    # Texts are shuffled once, by path, and only where some are needed; the rest works on paths and hashes.
+    text = (scan.where("false") if fresh.isEmpty() else scan).select(*cols, "text").alias("s").join(fresh.alias("f"), "path")
     text = text.where(F.col("s.content_hash").eqNullSafe(F.col("f.content_hash")) & F.col("s.size_bytes").eqNullSafe(F.col("f.size_bytes")) & F.col("s.mtime_ms").eqNullSafe(F.col("f.mtime_ms")) & F.md5(F.col("s.text")).eqNullSafe(F.col("f.digest")))
-    text = text.select("path", F.col("s.content_hash").alias("content_hash"), F.col("s.size_bytes").alias("size_bytes"), F.col("s.mtime_ms").alias("mtime_ms"), F.col("s.text").alias("text")).dropDuplicates(["path"])
-    pieces = text.withColumn("pieces", chunk_chars(F.col("text"), size, overlap)).where(F.size("pieces") > 0)
+    cut = text.select("path", F.col("s.text").alias("text")).dropDuplicates(["path"]).select("path", F.posexplode(chunk_chars(F.col("text"), size, overlap)).alias("ordinal", "text"))
     vector = embed(F.col("text")) if embed else F.lit(None)
-    cut = pieces.select("path", F.posexplode("pieces").alias("ordinal", "text"))
     cut.select("path", "ordinal", "text", vector.cast("array<double>").alias("embedding")).write.mode("overwrite").parquet(f"{at}/chunks")
-    pieces.select(*cols, F.size("pieces").cast("long").alias("chunks")).write.mode("overwrite").parquet(f"{at}/files")
+    counts = spark.read.schema(CHUNKS).parquet(f"{at}/chunks").groupBy("path").agg(F.count("*").alias("chunks"))
+    fresh.join(counts, "path").select(*cols, "chunks").write.mode("overwrite").parquet(f"{at}/files")
     replaced = fresh.select("path").join(held.select("path"), "path", "left_semi")
     stale_files(seen, held).select("path").unionByName(replaced).write.mode("overwrite").parquet(f"{at}/gone")
     if all(spark.read.schema("path string").parquet(f"{at}/{kind}").isEmpty() for kind in ("files", "gone")):
