@@ -15,14 +15,24 @@ def json_paths(docs: DataFrame) -> DataFrame:
     Arrays and plain values are values as a whole, in canonical JSON. One level is taken apart at a time,
     so depth is bounded by the documents alone. Texts that are no JSON object give nothing.
     """
-    open_ = docs.select("key", "rank", F.array().cast("array<string>").alias("path"), canonical_json(F.col("text")).alias("text")).where(F.startswith("text", F.lit("{")))
+    return _paths(_parsed(docs))
+
+
+def _parsed(docs: DataFrame) -> DataFrame:
+    """(key, rank, node) of the texts that are objects, parsed once: what follows takes the VARIANT apart."""
+    return written(docs.select("key", "rank", F.try_parse_json("text").alias("node")), "json-parsed").where("startswith(schema_of_variant(node), 'OBJECT<')")
+
+
+def _paths(objects: DataFrame) -> DataFrame:
+    open_ = objects.select("key", "rank", F.array().cast("array<string>").alias("path"), "node")
     found = []
     while True:
-        rows = open_.select("key", "rank", "path", F.explode(F.map_entries(F.expr("cast(parse_json(text) as map<string,variant>)"))).alias("e"))
-        rows = rows.select("key", "rank", F.concat("path", F.array(F.col("e.key"))).alias("path"), F.coalesce(F.to_json(F.col("e.value")), F.lit("null")).alias("text"))
-        rows = written(rows.withColumn("deep", F.startswith("text", F.lit("{"))), "json-level")
-        found.append(rows.select("key", "rank", "path", F.when(~F.col("deep"), F.col("text")).alias("value")))
-        open_ = rows.where("deep").select("key", "rank", "path", "text")
+        rows = open_.select("key", "rank", "path", F.explode(F.expr("cast(node as map<string,variant>)")).alias("name", "node"))
+        deep = F.expr("startswith(schema_of_variant(node), 'OBJECT<')")
+        rows = rows.select("key", "rank", F.concat("path", F.array("name")).alias("path"), F.when(~deep, F.coalesce(F.to_json("node"), F.lit("null"))).alias("value"), F.when(deep, F.col("node")).alias("node"))
+        rows = written(rows, "json-level")
+        found.append(rows.select("key", "rank", "path", "value"))
+        open_ = rows.where("value is null").select("key", "rank", "path", "node")
         if open_.isEmpty():
             break
     out = found[0]
@@ -39,17 +49,17 @@ def deep_merge(docs: DataFrame) -> DataFrame:
     value goes if a later one has an object at its path. The result is canonical JSON. Texts that are no object are left out, ranks
     must be unique for a key.
     """
-    paths = written(json_paths(docs), "json-paths")
-    at = paths.groupBy("key", "path").agg(F.max(F.when(F.col("value").isNotNull(), F.col("rank"))).alias("plain"), F.max(F.when(F.col("value").isNull(), F.col("rank"))).alias("object"))
-    last = paths.groupBy("key", "path").agg(F.max_by("value", "rank").alias("value"), F.max("rank").alias("rank"), F.max_by(F.col("value").isNull(), "rank").alias("deep"))
+    objects = _parsed(docs)
+    last = _paths(objects).groupBy("key", "path").agg(F.max_by("value", "rank").alias("value"), F.max("rank").alias("rank"), F.max(F.when(F.col("value").isNotNull(), F.col("rank"))).alias("plain"))
+    last = written(last.withColumn("deep", F.col("value").isNull()), "json-last")
     # An object that merged keeps what earlier ones held, back to the last plain value at or above it.
     above = last.select("key", "path", "value", "rank", "deep", F.explode(F.sequence(F.lit(1), F.size("path"))).alias("n")).withColumn("over", F.slice("path", F.lit(1), F.col("n")))
-    shadow = above.join(at.select("key", F.col("path").alias("over"), "plain"), ["key", "over"]).groupBy("key", "path").agg(F.max("plain").alias("shadow"))
+    shadow = above.join(last.select("key", F.col("path").alias("over"), "plain"), ["key", "over"]).groupBy("key", "path").agg(F.max("plain").alias("shadow"))
     kept = last.join(shadow, ["key", "path"], "left").where("shadow is null or rank >= shadow")
     # Empty objects stay only where nothing lies below them; they are written when their level comes.
     kept = written(kept.select("key", "path", "value", "deep"), "json-kept")
     depth = kept.agg(F.max(F.size("path"))).first()[0] or 0
-    keys = docs.where(F.startswith(canonical_json(F.col("text")), F.lit("{"))).select("key").distinct()
+    keys = objects.select("key").distinct()
     below = None
     for level in range(depth, 0, -1):
         here = kept.where(F.size("path") == level)
