@@ -31,5 +31,13 @@ TASK_ROWS = 1 << 20
 
 
 def spread(rows: int, spark: SparkSession, each: int = TASK_ROWS) -> int:
-    """Partitions for a number of rows: the session's, or as many more as keep each at about `each` rows."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+    """Partitions for a number of rows: the session's, or as many more as keep each at about `each` rows.
+
+    Above bypassMergeThreshold partitions a shuffle's writers keep all rows of their split in memory to sort them:
+    partitions take up to twice as many rows where that keeps to this number.
+    """
+    direct = int(spark.conf.get("spark.shuffle.sort.bypassMergeThreshold", "200"))
+    n = -(-rows // each)
+    if n > direct:
+        n = max(direct, -(-n // 2))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), n)
