@@ -58,10 +58,14 @@ def text_lines(text: Column) -> Column:
 
 def chunk_lines(text: Column, size: int = CHUNK_LINES, overlap: int = LINE_OVERLAP) -> Column:
     """Overlapping windows of lines as structs (line_start, line_end, text), lines counted from 1."""
-    lines, step = text_lines(text), size - overlap
-    n = F.size(lines)
-    starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(F.ceil((n - size) / step), F.lit(0)).cast("int") * step, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s: F.struct((s + 1).alias("line_start"), F.least(s + size, n).alias("line_end"), F.array_join(F.slice(lines, s + 1, size), "\n").alias("text")))
+    step = size - overlap
+
+    def windows(lines: Column) -> Column:
+        n = F.size(lines)
+        starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(F.ceil((n - size) / step), F.lit(0)).cast("int") * step, F.lit(step))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda s: F.struct((s + 1).alias("line_start"), F.least(s + size, n).alias("line_end"), F.array_join(F.slice(lines, s + 1, size), "\n").alias("text")))
+
+    return F.element_at(F.transform(F.array(text_lines(text)), windows), 1)  # as a lambda's variable the lines are cut once a text, not once a window
 
 
 def token_estimate(text: Column) -> Column:

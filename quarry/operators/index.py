@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from bisect import insort
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,6 +30,10 @@ KEYWORD = "[A-Za-z_][A-Za-z0-9_]+"
 #: Files of a posting block, at most.
 BLOCK = 1024
 GRAM = 3
+#: A text's bytes with a blank for what no term has.
+_APART = bytes(c if _TERM.match(chr(c)) and c < 128 else 32 for c in range(256))
+#: Terms that a scan keeps in memory, at most.
+KEPT_TERMS = 1 << 20
 
 
 def _segments(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
@@ -104,6 +109,59 @@ def grep_index(index: DataFrame, queries: DataFrame, top: int = 5, files: DataFr
     return queries.select("query", "keyword").distinct().join(first, "keyword").select("query", "keyword", "path", "place")
 
 
+def _first_paths(batches: Iterator[pa.RecordBatch], keywords: list[str], top: int) -> Iterator[pa.RecordBatch]:
+    """(keyword, path) of batches (path, text): each keyword's first `top` paths of this task."""
+    plain = {w.encode() for w in keywords if _TERM.fullmatch(w)}
+    short, begin, odd = [w for w in plain if len(w) < GRAM], {}, [w.encode() for w in keywords if w and not _TERM.fullmatch(w)]
+    for w in plain:
+        if len(w) >= GRAM:
+            begin.setdefault(w[:GRAM], []).append(w)
+    first = {w: [] for w in (*plain, *odd)}
+    without, matched, kind = set(), {}, None
+
+    def words(term):
+        found = {w for i in range(len(term) - GRAM + 1) for w in begin.get(term[i:i + GRAM], ()) if term.startswith(w, i)}
+        return found.union(w for w in short if w in term)
+
+    for batch in batches:
+        kind = batch.schema.field("path").type
+        for path, text in zip(batch.column("path").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
+            hit = set()
+            for term in set((text or b"").translate(_APART).split()) - without:
+                found = matched.get(term)
+                if found is None:
+                    found = words(term)
+                    if not found:
+                        without.add(term)
+                        continue
+                    matched[term] = found
+                hit |= found
+            hit.update(w for w in odd if text and (len(first[w]) < top or path < first[w][-1]) and w in text)
+            for w in hit:
+                held = first[w]
+                if (len(held) < top or path < held[-1]) and path not in held:
+                    insort(held, path)
+                    del held[top:]
+            if len(without) + len(matched) > KEPT_TERMS:
+                without.clear()
+                matched.clear()
+    if kind is not None:
+        rows = [(w.decode(), path) for w, held in first.items() for path in held]
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([path for _, path in rows], kind)], ["keyword", "path"])
+
+
+def grep_files(files: DataFrame, queries: DataFrame, top: int = 5) -> DataFrame:
+    """(query, keyword, path, place) as of `grep_index`, from one pass over the texts of files (path, text) and no index.
+
+    For a batch of queries that is asked once: the keywords go to every task, and a task keeps `top` paths of each.
+    """
+    words = [r["keyword"] for r in queries.select("keyword").where("keyword is not null").distinct().collect()]
+    kind = files.schema["path"].dataType.simpleString()
+    found = files.where("path is not null").select("path", "text").mapInArrow(lambda batches: _first_paths(batches, words, top), f"keyword string, path {kind}").distinct()
+    first = found.withColumn("place", F.row_number().over(W.partitionBy("keyword").orderBy("path"))).where(F.col("place") <= top)
+    return queries.select("query", "keyword").distinct().join(first, "keyword").select("query", "keyword", "path", "place")
+
+
 def extract_keywords(texts: DataFrame, limit: int = 8, least: int = 3) -> DataFrame:
     """(query, pos, keyword) of (query, text): identifiers with a capital or an underscore, longest first (of equals as they come), neighbours that repeat once, `limit` at most."""
     k = texts.select("query", F.posexplode(F.regexp_extract_all("text", F.lit(KEYWORD), F.lit(0))).alias("at", "keyword")).where((F.length("keyword") >= least) & F.col("keyword").rlike("[A-Z_]"))
@@ -141,8 +199,13 @@ def expand_keywords(keywords: DataFrame, limit: int = 20) -> DataFrame:
 def keyword_candidates(index: DataFrame, chunks: DataFrame, keywords: DataFrame, top: int = 5, files: DataFrame | None = None) -> DataFrame:
     """(query, chunk, pos): chunks (chunk, path) of the first `top` files of each keyword (query, pos, keyword), in the order of keywords, files and chunks."""
     keywords = written(keywords, "keywords")
-    hits = keywords.join(grep_index(index, keywords, top, files), ["query", "keyword"]).select("query", "path", F.struct(F.col("pos").alias("keyword"), "place").alias("hit"))
-    hits = hits.groupBy("query", "path").agg(F.min("hit").alias("hit"))
+    return hit_candidates(chunks, keywords, grep_index(index, keywords, top, files))
+
+
+def hit_candidates(chunks: DataFrame, keywords: DataFrame, found: DataFrame) -> DataFrame:
+    """(query, chunk, pos) as of `keyword_candidates`, of keywords (query, pos, keyword) and what was found for them (query, keyword, path, place)."""
+    hits = keywords.join(found, ["query", "keyword"]).select("query", "path", F.struct(F.col("pos").alias("keyword"), "place").alias("hit"))
+    hits = written(hits.groupBy("query", "path").agg(F.min("hit").alias("hit")), "keyword-files")  # a table of known size: it is sent to the chunks
     return hits.join(chunks.select("chunk", "path"), "path").select("query", "chunk", F.struct("hit.keyword", "hit.place", "chunk").alias("pos"))
 
 
